@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import chat, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_chat_format": chat.op2_chat_format,
+        "op3_mix_sources": mixing.op3_mix_sources,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
