@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, secrets, simhash, toxicity
+from . import chat, mixing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_chat_format": chat.op2_chat_format,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_quality_network": quality.op4_quality_network,
         "op7_toxicity_chain": toxicity.op7_toxicity_chain,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
