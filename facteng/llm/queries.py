@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, secrets, simhash, toxicity
+from . import chat, media, mixing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_quality_network": quality.op4_quality_network,
         "op7_toxicity_chain": toxicity.op7_toxicity_chain,
+        "op8_progressive_jpeg": media.op8_progressive_jpeg,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
