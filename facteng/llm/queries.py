@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, quality, secrets, simhash, toxicity
+from . import chat, lm, media, mixing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": chat.op2_chat_format,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_quality_network": quality.op4_quality_network,
+        "op5_katz_backoff": lm.op5_katz_backoff,
         "op7_toxicity_chain": toxicity.op7_toxicity_chain,
         "op8_progressive_jpeg": media.op8_progressive_jpeg,
         "op10_secret_scan": secrets.op10_secret_scan,
