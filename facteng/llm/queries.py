@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lm, media, mixing, quality, secrets, simhash, toxicity
+from . import chat, decontaminate, lm, media, mixing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_katz_backoff": lm.op5_katz_backoff,
         "op7_toxicity_chain": toxicity.op7_toxicity_chain,
         "op8_progressive_jpeg": media.op8_progressive_jpeg,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontaminate": decontaminate.OP9_SQL}

@@ -30,9 +30,11 @@ _WORD = re.compile(r"\w+")
 LANGUAGES = ("en", "fr", "de", "es")
 CATEGORIES = tuple(f"toxic_{x}" for x in LANGUAGES) + ("toxic",)
 #: Labelled rows the chain is fitted on, at most; the only bound, and on training alone.
-MAX_ROWS = 20_000
+MAX_ROWS = 12_000
 FEATURES_PER_CATEGORY = 400
-FOLDS = 5
+#: Logarithm of how many times as frequent a feature must be inside a category to be used.
+LEAST_ODDS = 1.5
+FOLDS = 3
 
 
 class Chain(NamedTuple):
@@ -78,7 +80,9 @@ def fit_chain(sample: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Ch
     for k in range(len(categories)):
         mine = stats[f"n_{k}"].to_numpy(np.float64)
         odds = np.log((mine + 0.5) / (positives[k] + 1.0) / ((stats["n"] - mine + 0.5) / (total - positives[k] + 1.0)))
-        best = stats["feature"].to_numpy()[np.argsort(np.where(mine >= 3, -mine * odds, np.inf), kind="stable")[: min(FEATURES_PER_CATEGORY, int((mine >= 3).sum()))]]
+        telling = (mine >= 3) & (odds >= LEAST_ODDS)
+        order = np.argsort(np.where(telling, -mine * odds, np.inf), kind="stable")
+        best = stats["feature"].to_numpy()[order[: min(FEATURES_PER_CATEGORY, int(telling.sum()))]]
         for f in sorted(best):
             features.setdefault(f, len(features))
 

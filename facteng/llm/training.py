@@ -43,13 +43,13 @@ class SparseRows:
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.bincount(self.row, weights=self.val * w[self.col], minlength=self.shape[0])
-        return out + self.dense @ w[self.shape[1] :]
+        return out + self.dense @ w[self.shape[1] :] if self.dense.shape[1] else out
 
     def back(self, g: np.ndarray) -> np.ndarray:
         return np.concatenate((np.bincount(self.col, weights=self.val * g[self.row], minlength=self.shape[1]), self.dense.T @ g))
 
 
-def fit_logistic(x: SparseRows, y: np.ndarray, l2: float = 1e-4, rounds: int = 200, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_logistic(x: SparseRows, y: np.ndarray, l2: float = 1e-5, rounds: int = 100, rate: float = 0.2) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the mean log loss. With one class only: no weights and the smoothed base rate."""
     n, w = len(y), np.zeros(x.shape[1] + x.dense.shape[1])
     base = (y.sum() + 0.5) / (n + 1.0)
