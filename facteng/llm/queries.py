@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, lm, media, mixing, quality, secrets, simhash, toxicity
+from . import chat, decontaminate, linededup, lm, media, mixing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_quality_network": quality.op4_quality_network,
         "op5_katz_backoff": lm.op5_katz_backoff,
+        "op6_line_dedup": linededup.op6_line_dedup,
         "op7_toxicity_chain": toxicity.op7_toxicity_chain,
         "op8_progressive_jpeg": media.op8_progressive_jpeg,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op6_line_dedup": linededup.OP6_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
