@@ -59,14 +59,15 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long): one row per row of docs, null texts as empty ones. Other columns are not read."""
+    """(doc_id, text_hash, fp long): one row per row of docs, null texts as empty ones. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", width) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"", width) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), F.col("text").cast("string").cast("binary"))
+    return plain.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -204,12 +205,13 @@ def links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp long, component_id): components of the graph that links fingerprints at radius or fewer
-    differing bits; component_id is the least doc_id of the component.
+    """(doc_id, text_hash, fp long, root long, component_id): components of the graph that links fingerprints at radius or
+    fewer differing bits. component_id is the least doc_id of the component, root its least fingerprint as a signed number;
+    text_hash is xxhash64 of the text.
 
     One row per row of docs (repeated rows stay repeated). Null or empty texts have fingerprint zero and are
-    linked like any other. A null doc_id stays null and never becomes a component's id unless the component has no
-    other. Only doc_id and text are read, so further columns of any name do no harm. No rows: no rows."""
+    linked like any other. A null doc_id stays null; a component has a null id only if all its rows have. Only doc_id and
+    text are read, so further columns of any name do no harm. No rows: no rows."""
     scratch = Scratch(spark, "simhash")
     fps = scratch.save(fingerprints(docs, width), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -217,25 +219,26 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, width: int = 4, radius
     roots = connected_components(edges, scratch)
     member = roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "least")
     least = member.groupBy("root").agg(F.min("least").alias("component"))
-    named = scratch.save(member.select("node", "root").join(least, "root").select("node", "component"), "named")
+    named = scratch.save(member.select("node", "root").join(least, "root").select("node", "root", "component"), "named")
     own = distinct.join(named, distinct["fp"] == named["node"], "left").select(
-        distinct["fp"].alias("_fp"), F.coalesce("component", "least").alias("component_id")
+        distinct["fp"].alias("_fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id")
     )
-    return fps.join(own, fps["fp"] == own["_fp"]).select("doc_id", "fp", "component_id")
+    return fps.join(own, fps["fp"] == own["_fp"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, spark: SparkSession, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs that have the least doc_id of their near-duplicate group, one row for each group: of several
-    rows with that same doc_id an arbitrary but single one stays. Columns and values are as in docs."""
+    """One row of docs for each near-duplicate group, columns and values unchanged: the one with the least doc_id (null
+    last), of several texts with that doc_id the one of the least hash, of repeated rows any single one."""
     scratch = Scratch(spark, "keep")
-    found = near_duplicates(docs, spark, width, radius)
-    kept = scratch.save(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    ids = kept.select(F.col("doc_id").alias("_kept_id"), "_n")
-    joined = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]))
+    found = near_duplicates(docs, spark, width, radius).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("k")
+    kept = scratch.save(found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_t"), F.col("k.n").alias("_n")), "kept")
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_t"]))
     single = joined.where("_n = 1").select(*[docs[c] for c in docs.columns])
     if kept.where("_n > 1").isEmpty():
         return single
-    return single.unionByName(joined.where("_n > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))
+    again = joined.where("_n > 1").select(*[docs[c] for c in docs.columns], kept["_d"].alias("_kd"), kept["_t"].alias("_kt"))
+    return single.unionByName(again.dropDuplicates(["_kd", "_kt"]).drop("_kd", "_kt"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
