@@ -159,6 +159,34 @@ class Engine:
             elif frames:  # a plan that Catalyst may combine with what reads it
                 known = len(frames) == 1 and rel in given and rel in self.unique
                 self.states[rel].pieces = [(df if known else self.best(df, sym), None)]
+        self._rounds(rels, again, left)
+        self.stats["components"] += 1
+
+    def extend(self, rules: list[Rule], new: dict[str, DataFrame]) -> dict[str, int]:
+        """Adds facts to an evaluated program without negation or aggregates and derives what follows, from the additions
+        only; how many facts each given relation gained."""
+        for r in rules:
+            if any(strict for _, strict in reads(r.body)):
+                raise ProgramError("E0602", "only a program without negation and aggregates can grow")
+        rels = list(self.types.rels)
+        for rel in rels:
+            self.states.setdefault(rel, State())
+            self.ensure(rel)
+        left = dict.fromkeys(rels, 0)
+        for rel, df in new.items():
+            sym = self.types.rels[rel]
+            rows = self.tables.save(self.fresh_rows(self.typed(df, sym), sym))
+            if rows[1]:
+                left[rel] = self.add_saved(sym, *rows)
+        gained = {rel: left[rel] for rel in new}
+        for rel in rels:
+            if not left[rel] and not self.types.rels[rel].bound:
+                self.states[rel].pieces.append((self.empty(self.types.rels[rel]), 0))
+        self._rounds(rels, [r for r in rules if r.body], left)
+        return gained
+
+    def _rounds(self, rels: list[str], again: list[Rule], left: dict[str, int]) -> None:
+        comp = set(rels)
         rounds = 0
         while again and any(left.values()):
             rounds += 1
@@ -208,7 +236,6 @@ class Engine:
                     else:
                         state.pieces.append((self.empty(sym), 0))
         self.stats["rounds"] += rounds
-        self.stats["components"] += 1
 
     def add_saved(self, sym: RelSym, new: DataFrame, n: int) -> int:
         state = self.states[sym.name]
