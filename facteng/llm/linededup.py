@@ -39,12 +39,11 @@ def rarity(docs: DataFrame) -> bytes:
 
 def codes(text: Column, classes: bytes) -> Column:
     """The set of words as an ascending array of longs: class of rarity in the top byte, hash below."""
-    table = F.lit(classes)
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant
 
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+        return F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
 
     return F.sort_array(F.array_distinct(F.transform(words(text), code)))
 
@@ -71,16 +70,17 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     classes = rarity(docs)
     place = F.struct("doc_id", "th", "line")
     coded = _lines(docs).select("doc_id", "th", "line", codes(F.col("content"), classes).alias("codes")).withColumn("n", F.size("codes")).where(F.col("n") >= least_words)
-    coded = coded.withColumn("k", F.xxhash64("codes", "n"))
-    kept = F.slice("codes", 1, F.col("n") - _ceil_share(F.col("n"), t) + 1)
+    # Of a line only the short hashes of its prefix, a parity signature and a key of the set are kept.
+    prefix = F.transform(F.slice("codes", 1, F.col("n") - _ceil_share(F.col("n"), t) + 1), lambda c: F.hash(c))
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-
-    # Every set once, with its first place and the number of lines that are it.
-    narrow = scratch.save(coded.select("doc_id", "th", "line", "k"), "places")
-    sets = coded.groupBy("k").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first(kept).alias("prefix"), F.first(parity).alias("sig"))
-    posts = sets.select("k", "n", "sig", F.posexplode("prefix").alias("pos", "code"))
-    # One long for size and position, to keep rows of the join short.
-    posts = posts.select("code", "k", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    lines = scratch.save(coded.select("doc_id", "th", "line", F.xxhash64("codes", "n").alias("k"), "n", parity.alias("sig"), prefix.alias("prefix")), "lines")
+    narrow = lines.select("doc_id", "th", "line", "k")
+
+    # Every set once, with its first place.
+    sets = lines.groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    posts = sets.select("k", "sig", "n", F.posexplode("prefix").alias("pos", "code"))
+    # One long for size and position, to keep rows of the join short; both sides read one exchange.
+    posts = posts.select("code", "k", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition("code")
     x, y = posts, posts.select(F.col("code").alias("code_"), F.col("k").alias("k_"), F.col("sig").alias("sig_"), F.col("np").alias("np_"))
     n_x, n_y = F.shiftright("np", 32), F.shiftright("np_", 32)
     rest = F.least(n_x - F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)), n_y - F.col("np_").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -90,10 +90,12 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     fits = fits & (rest * need[0] >= need[1]) & ((n_x + n_y - F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_")))) * need[0] >= need[1] * 2)
     pairs = scratch.save(x.join(y, (F.col("code") == F.col("code_")) & fits).select("k", "k_").distinct(), "pairs")
 
-    # Whole sets of the candidates alone.
-    asked = scratch.save(pairs.select("k").union(pairs.select("k_")).distinct(), "asked")
-    few = maybe_broadcast(asked, asked.count(), 16)
-    whole = scratch.save(coded.join(few, "k").groupBy("k").agg(F.min(place).alias("first"), F.first("codes").alias("codes")), "sets")
+    # Whole sets of the candidates alone, made again from the first line of each.
+    asked = pairs.select("k").union(pairs.select("k_")).distinct()
+    firsts = scratch.save(narrow.join(asked, "k").groupBy("k").agg(F.min(place).alias("first")).select("k", "first.*"), "firsts")
+    few = maybe_broadcast(firsts.select(F.col("k"), F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("line").alias("_l")), firsts.count(), 40)
+    chosen = _lines(docs).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("line") == F.col("_l")))
+    whole = scratch.save(chosen.dropDuplicates(["k"]).select("k", place.alias("first"), codes(F.col("content"), classes).alias("codes")), "sets")
     other = whole.select(F.col("k").alias("k_"), F.col("first").alias("first_"), F.col("codes").alias("codes_"))
     o = F.size(F.array_intersect("codes", "codes_"))
     checked = pairs.join(whole, "k").join(other, "k_").where(o * need[0] >= a * (F.size("codes") + F.size("codes_")))
