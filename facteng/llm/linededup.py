@@ -48,6 +48,13 @@ def codes(text: Column, classes: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(text), code)))
 
 
+def _parity(array: Column) -> Column:
+    """64 bits, each the parity of how many elements have it as their low six bits: two sets differ in at least as many
+    elements as their parities in bits."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(array, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+
+
 def _ceil_share(n: Column, t: Fraction) -> Column:
     """ceil(t n) in integers."""
     return F.floor((n * t.numerator + (t.denominator - 1)) / t.denominator).cast("int")
@@ -72,23 +79,29 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     coded = _lines(docs).select("doc_id", "th", "line", codes(F.col("content"), classes).alias("codes")).withColumn("n", F.size("codes")).where(F.col("n") >= least_words)
     # Of a line only the short hashes of its prefix, a parity signature and a key of the set are kept.
     prefix = F.transform(F.slice("codes", 1, F.col("n") - _ceil_share(F.col("n"), t) + 1), lambda c: F.hash(c))
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = scratch.save(coded.select("doc_id", "th", "line", F.xxhash64("codes", "n").alias("k"), "n", parity.alias("sig"), prefix.alias("prefix")), "lines")
+    lines = scratch.save(coded.select("doc_id", "th", "line", F.xxhash64("codes", "n").alias("k"), "n", _parity(F.col("codes")).alias("sig"), prefix.alias("prefix")), "lines")
     narrow = lines.select("doc_id", "th", "line", "k")
 
     # Every set once, with its first place.
     sets = lines.groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    posts = sets.select("k", "sig", "n", F.posexplode("prefix").alias("pos", "code"))
-    # One long for size and position, to keep rows of the join short; both sides read one exchange.
-    posts = posts.select("code", "k", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition("code")
-    x, y = posts, posts.select(F.col("code").alias("code_"), F.col("k").alias("k_"), F.col("sig").alias("sig_"), F.col("np").alias("np_"))
-    n_x, n_y = F.shiftright("np", 32), F.shiftright("np_", 32)
-    rest = F.least(n_x - F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)), n_y - F.col("np_").bitwiseAND(F.lit(0xFFFFFFFF)))
     a, b = t.numerator, t.denominator
+    most = (1 << 14) - 1  # sizes from here on are not told apart, and the filters let them pass
+    posts = sets.select("k", "sig", "n", F.posexplode("prefix").alias("pos", "code"))
+    small = F.least(F.col("n"), F.lit(most)).cast("long")
+    pack = F.shiftleft("sig", 28).bitwiseOR(F.shiftleft(small, 14)).bitwiseOR(F.when(small < most, F.col("pos")).otherwise(0).cast("long"))
+    # The smaller set of a pair needs a shorter prefix (its share of the overlap is larger).
+    short = F.col("pos") <= F.col("n") - _ceil_share(F.col("n"), 2 * t / (1 + t))
+    x = posts.where(short).select("code", "k", pack.alias("p"))
+    y = posts.select(F.col("code").alias("code_"), F.col("k").alias("k_"), pack.alias("p_"))
+    field = lambda p, at: F.shiftrightunsigned(p, at).bitwiseAND(F.lit(most))
+    n_x, n_y = field("p", 14), field("p_", 14)
+    rest = F.least(n_x - field("p", 0), n_y - field("p_", 0))
     need = (a + b, a * (n_x + n_y))  # overlap o is enough if o (a + b) >= a (n_x + n_y)
-    fits = (F.col("k") < F.col("k_")) & (F.least(n_x, n_y) * b >= F.greatest(n_x, n_y) * a)
-    fits = fits & (rest * need[0] >= need[1]) & ((n_x + n_y - F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_")))) * need[0] >= need[1] * 2)
-    pairs = scratch.save(x.join(y, (F.col("code") == F.col("code_")) & fits).select("k", "k_").distinct(), "pairs")
+    differ = F.bit_count(F.shiftrightunsigned(F.col("p").bitwiseXOR(F.col("p_")), 28))
+    order = (n_x < n_y) | ((n_x == n_y) & (F.col("k") < F.col("k_"))) | ((n_y == most) & (F.col("k") != F.col("k_")))
+    fits = (n_y == most) | ((n_x * b >= n_y * a) & (rest * need[0] >= need[1]) & ((n_x + n_y - differ) * need[0] >= need[1] * 2))
+    found = x.join(y, (F.col("code") == F.col("code_")) & order & fits)
+    pairs = scratch.save(found.select(F.least("k", "k_").alias("k"), F.greatest("k", "k_").alias("k_")).distinct(), "pairs")
 
     # Whole sets of the candidates alone, made again from the first line of each.
     asked = pairs.select("k").union(pairs.select("k_")).distinct()
@@ -97,8 +110,16 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     chosen = _lines(docs).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("line") == F.col("_l")))
     whole = scratch.save(chosen.dropDuplicates(["k"]).select("k", place.alias("first"), codes(F.col("content"), classes).alias("codes")), "sets")
     other = whole.select(F.col("k").alias("k_"), F.col("first").alias("first_"), F.col("codes").alias("codes_"))
+    # A signature of 256 bits leaves hardly any pair that isn't similar; only what is left carries whole sets.
+    mark = [f"s{j}" for j in range(4)]
+    part = lambda j: F.filter("codes", lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == j)
+    signed = scratch.save(whole.select("k", F.size("codes").alias("n"), *[_parity(part(j)).alias(mark[j]) for j in range(4)]), "signatures")
+    twin = signed.select(F.col("k").alias("k_"), F.col("n").alias("n_"), *[F.col(m).alias(f"{m}_") for m in mark])
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_"))) for m in mark[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_"))))
+    likely = (F.col("n") + F.col("n_") - differ) * need[0] >= a * (F.col("n") + F.col("n_")) * 2
+    near = scratch.save(pairs.join(signed, "k").join(twin, "k_").where(likely).select("k", "k_"), "likely")
     o = F.size(F.array_intersect("codes", "codes_"))
-    checked = pairs.join(whole, "k").join(other, "k_").where(o * need[0] >= a * (F.size("codes") + F.size("codes_")))
+    checked = near.join(whole, "k").join(other, "k_").where(o * need[0] >= a * (F.size("codes") + F.size("codes_")))
     matched = checked.select("k", "first_").union(checked.select(F.col("k_").alias("k"), F.col("first").alias("first_"))).groupBy("k").agg(F.min("first_").alias("near"))
 
     # A line goes if its own set or a similar one has an earlier place.
