@@ -116,8 +116,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(words: DataFrame, texts: int, vocabulary: int = VOCABULARY) -> Lexicon:
-    """words: (word, c) of all training words; texts: training texts. At most vocabulary words come to the driver."""
-    top = words.orderBy(F.desc("c"), "word").limit(vocabulary).toPandas()
+    """words: (word, c) of all training words; texts: training texts. The vocabulary is all words of at least some count, the
+    least one with which it has vocabulary words at most; only those and a histogram of counts come to the driver."""
+    exact = 1 << 16  # larger counts share a class of the histogram with others within a sixteenth
+    level = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log2(F.col("c") / exact) * 16)).cast("long")
+    fits, least = 0, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        if fits + r["count"] > vocabulary:
+            break
+        fits, least = fits + r["count"], r.level
+    top = words.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
     ids = {bytes(w): i for i, w in enumerate(top["word"], 1)}
     own = top["c"].to_numpy(np.int64)
     few = [F.sum((F.col("c") == r).cast("long")) for r in range(1, CUTOFF + 2)]

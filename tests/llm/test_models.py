@@ -102,7 +102,8 @@ def test_katz_by_brute_force(spark, vocabulary):
     toks = {i: (t or "").encode().lower().split() for i, t in rows}
     c = Counter(w for i, ws in toks.items() if not held(i) for w in ws)
     texts = sum(not held(i) for i, _ in rows)
-    top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]]
+    least = min((n for n in set(c.values()) if sum(x >= n for x in c.values()) <= vocabulary), default=10**9)
+    top = [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n >= least]
     ids = {w: k for k, w in enumerate(top, 1)}
     rare = len(top) + 1
     seq = {i: [0] + [ids.get(w, rare) for w in ws] + [0] for i, ws in toks.items()}
