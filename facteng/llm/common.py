@@ -41,6 +41,8 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        # Shuffle files of the finished step are no longer needed; Spark deletes them once the driver has collected its plan.
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, maybe_broadcast, text_or_empty
-from .native_text import words
+from .native_text import hashes, words
 
 BUCKETS = 1 << 14
 LOW = (1 << 56) - 1
@@ -41,11 +41,8 @@ def codes(text: Column, classes: bytes) -> Column:
     """The set of words as an ascending array of longs: class of rarity in the top byte, hash below."""
     table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
-
-    return F.sort_array(F.array_distinct(F.transform(words(text), code)))
+    code = lambda h: F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(hashes(words(text))), code)))
 
 
 def _parity(array: Column) -> Column:
@@ -85,21 +82,18 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     # Every set once, with its first place.
     sets = lines.groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     a, b = t.numerator, t.denominator
-    most = (1 << 14) - 1  # sizes from here on are not told apart, and the filters let them pass
     posts = sets.select("k", "sig", "n", F.posexplode("prefix").alias("pos", "code"))
-    small = F.least(F.col("n"), F.lit(most)).cast("long")
-    pack = F.shiftleft("sig", 28).bitwiseOR(F.shiftleft(small, 14)).bitwiseOR(F.when(small < most, F.col("pos")).otherwise(0).cast("long"))
+    pack = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # keeps rows of the join short
     # The smaller set of a pair needs a shorter prefix (its share of the overlap is larger).
     short = F.col("pos") <= F.col("n") - _ceil_share(F.col("n"), 2 * t / (1 + t))
-    x = posts.where(short).select("code", "k", pack.alias("p"))
-    y = posts.select(F.col("code").alias("code_"), F.col("k").alias("k_"), pack.alias("p_"))
-    field = lambda p, at: F.shiftrightunsigned(p, at).bitwiseAND(F.lit(most))
-    n_x, n_y = field("p", 14), field("p_", 14)
-    rest = F.least(n_x - field("p", 0), n_y - field("p_", 0))
+    x = posts.where(short).select("code", "k", "sig", pack.alias("p"))
+    y = posts.select(F.col("code").alias("code_"), F.col("k").alias("k_"), F.col("sig").alias("sig_"), pack.alias("p_"))
+    n_x, n_y = F.shiftright("p", 32), F.shiftright("p_", 32)
+    rest = F.least(n_x - F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)), n_y - F.col("p_").bitwiseAND(F.lit(0xFFFFFFFF)))
     need = (a + b, a * (n_x + n_y))  # overlap o is enough if o (a + b) >= a (n_x + n_y)
-    differ = F.bit_count(F.shiftrightunsigned(F.col("p").bitwiseXOR(F.col("p_")), 28))
-    order = (n_x < n_y) | ((n_x == n_y) & (F.col("k") < F.col("k_"))) | ((n_y == most) & (F.col("k") != F.col("k_")))
-    fits = (n_y == most) | ((n_x * b >= n_y * a) & (rest * need[0] >= need[1]) & ((n_x + n_y - differ) * need[0] >= need[1] * 2))
+    differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_")))
+    order = (n_x < n_y) | ((n_x == n_y) & (F.col("k") < F.col("k_")))
+    fits = (n_x * b >= n_y * a) & (rest * need[0] >= need[1]) & ((n_x + n_y - differ) * need[0] >= need[1] * 2)
     found = x.join(y, (F.col("code") == F.col("code_")) & order & fits)
     pairs = scratch.save(found.select(F.least("k", "k_").alias("k"), F.greatest("k", "k_").alias("k_")).distinct(), "pairs")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
-
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text; null as no words."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_CLASS), "")
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for c in "\t\n\x0b\x0c\r":  # splitting at one plain character needs no regular expression
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def hashes(tokens: Column) -> Column:
