@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ast import Agg, Arith, As, Asc, Atom, Cmp, Con, Disj, Lit, Named, Neg, Not, Rule, Term, Var, bound_by, fresh, pattern_variables, variables
+from ..ast import Agg, Arith, As, Asc, Atom, Cmp, Con, Disj, Lit, Named, Neg, Not, Rule, Term, Var, bound_by, fresh, variables
 from ..checks.moding import order
 from ..errors import ProgramError
 from ..functions import scalars as S
@@ -183,17 +183,16 @@ class Compiler:
     def negation(self, env: Env, f: Not) -> Env:
         """Local variables are existential: the right side is projected to the shared ones first."""
         shared = [x for x in variables(f.atom) if x in env.vars]
-        inner = self.atom(Env(None, {}), f.atom) if not any(isinstance(x, (Arith, Neg)) for a in f.atom.args for x in (a,)) else None
-        if inner is None:  # computed arguments become comparisons with the outer bindings
-            args, extra = [], []
+        if any(isinstance(a, (Arith, Neg)) for a in f.atom.args):  # computed arguments become comparisons with the outer bindings
+            args = []
             for a in f.atom.args:
                 if isinstance(a, (Arith, Neg)):
                     v = fresh("N")
                     env = self.bind(env, v.name, self.value(a, env))
-                    extra.append(v.name)
                     a = v
                 args.append(a)
             return self.negation(env, Not(Atom(f.atom.rel, tuple(args), f.atom.name)))
+        inner = self.atom(Env(None, {}), f.atom)
         if not shared:
             right = inner.df.select(F.lit(1).alias("one_r")).limit(1)
             left = self._frame(env).withColumn("one_l", F.lit(1))

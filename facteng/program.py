@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as _text
-from .ast import Agg, Atom, Cmp, Con, Disj, Lit, Neg, Not, Query, Rule, Term, Var, show, substitute, term, variables, walk
+from .ast import Agg, Atom, Cmp, Con, Disj, Lit, Not, Query, Rule, Term, Var, show, term, variables, walk
 from .checks import semantics
 from .checks.moding import check as check_modes
-from .checks.moding import order
 from .checks.stratify import completeness, stratify
 from .errors import ProgramError, Warning_
+from .functions.scalars import identity
 from .operators.fixpoint import Engine
 from .plans.body import Env
 from .rewrite.demand import demand
-from .rewrite.simplify import flatten, prepare
+from .rewrite.simplify import prepare
 from .types import BASES, Column, RelSym, Types
 
 DIRECTIVES = ("input", "output", "open", "derivations", "terminates", "demand")
@@ -308,8 +308,6 @@ class Result:
         """Prints values; identities are looked up in the relations whose facts are values."""
         known: dict[str, str] = {}
         engine = self.engine
-        from .functions.scalars import identity
-
         def load(rel: str) -> None:
             sym = self.program.types.rels[rel]
             kinds = engine.compiler.kinds(sym)
@@ -431,5 +429,3 @@ def not_(a: Atom) -> Not:
 def either(*options) -> Disj:
     return Disj(tuple(tuple(o) if isinstance(o, (tuple, list)) else (o,) for o in options))
 
-
-__all__ = ["Neg", "Program", "Result", "V", "atom", "cmp", "con", "count_", "either", "flatten", "max_", "min_", "not_", "order", "substitute", "sum_"]

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checks.stratify import reads
 from ..errors import ProgramError
 from ..program import Program, Result
 
@@ -18,7 +19,7 @@ class Incremental:
 
     def __init__(self, program: Program, spark: SparkSession):
         self.result: Result = program.evaluate(spark)
-        if any(strict for r in self.result.rules for _, strict in _reads(r)):
+        if any(strict for r in self.result.rules for _, strict in reads(r.body)):
             raise ProgramError("E0602", "only a program without negation and aggregates can grow")
 
     def add(self, rel: str, df: DataFrame) -> int:
@@ -39,9 +40,3 @@ class Incremental:
         return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
-def _reads(rule):
-    from ..checks.stratify import reads
-
-    return reads(rule.body)
-
-
