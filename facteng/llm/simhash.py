@@ -229,8 +229,12 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, width: int = 4, radius
 def one_of_each_group(docs: DataFrame, spark: SparkSession, width: int = 4, radius: int = 4) -> DataFrame:
     """One row of docs for each near-duplicate group, columns and values unchanged: the one with the least doc_id (null
     last), of several texts with that doc_id the one of the least hash, of repeated rows any single one."""
-    scratch = Scratch(spark, "keep")
-    found = near_duplicates(docs, spark, width, radius).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    return first_of_groups(docs, near_duplicates(docs, spark, width, radius), Scratch(spark, "keep"))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """The row of docs that stays of each group; groups: root, doc_id, text_hash for every row of docs."""
+    found = groups.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("k")
     kept = scratch.save(found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_t"), F.col("k.n").alias("_n")), "kept")
     joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_t"]))
