@@ -1,7 +1,7 @@
 """Katz backoff language model over whole corpora.
 
-Tokens are words and one end per text. The most frequent words are classes of their own and all others share a
-class, within which a word has a Good-Turing discounted unigram probability of its own, so every word the corpus
+Tokens are words and one end per text. All training words have bigrams of their own, keyed by 64-bit hashes; see full_scores.
+With a vocabulary given, the most frequent words are classes of their own and all others share a class, within which a word has a Good-Turing discounted unigram probability of its own, so every word the corpus
 ever had counts. Bigrams of classes are counted exactly, discounted by Good-Turing and backed off to the
 class unigrams with weights that make every context sum to one. A token is evaluated recursively: bigram, else
 backoff weight times class; if the class is the shared one, times the word's probability within it.
@@ -13,6 +13,7 @@ a table, whose number grows with the corpus, is ever held by a task, and hot key
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
-#: Words with a class of their own; class 0 is the end (and the context a text begins in), the last is shared.
-VOCABULARY = (1 << 16) - 2
+#: No bound: every training word has bigrams of its own. A smaller vocabulary asks for the class model.
+VOCABULARY = 1 << 62
+#: Most words with a class of their own in the class model; class 0 is the end (and the context a text begins in), the last is shared.
+CLASSES = (1 << 16) - 2
 #: Discounts apply to counts up to this one.
 CUTOFF = 5
 #: Tokens for each partition of the tables, about.
@@ -115,7 +118,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long")
 
 
-def build_lexicon(words: DataFrame, texts: int, vocabulary: int = VOCABULARY) -> Lexicon:
+def build_lexicon(words: DataFrame, texts: int, vocabulary: int = CLASSES) -> Lexicon:
     """words: (word, c) of all training words; texts: training texts. The vocabulary is all words of at least some count, the
     least one with which it has vocabulary words at most; only those and a histogram of counts come to the driver."""
     exact = 1 << 16  # larger counts share a class of the histogram with others within a sixteenth
@@ -274,20 +277,22 @@ SENT = "kind int, part long, batch string, docs binary, keys binary, reps binary
 SUMS = "batch string, docs binary, score binary, base binary, known binary, n binary"
 
 
+def requests(kind: int, count: int, name: str, keys: np.ndarray, text: np.ndarray) -> list[tuple]:
+    """What a batch asks of each partition of a table: distinct keys, how often, and in which texts."""
+    part = parts_of(keys, count)
+    order = np.lexsort((text, keys, part))
+    part, keys, text = part[order], keys[order], text[order]
+    out = []
+    for p in np.unique(part):
+        a, b = np.searchsorted(part, (p, p + 1))
+        own, reps = np.unique(keys[a:b], return_counts=True)
+        out.append((kind, int(p), name, None, pack_sorted(own), pack(reps.astype(np.uint32)), pack(text[a:b].astype(np.uint32))))
+    return out
+
+
 def send(docs: DataFrame, shared, parts: int, rare_parts: int) -> DataFrame:
     """What every batch asks of the partitions of the tables, and what it can sum up by itself."""
 
-    def rows(kind: int, count: int, name: str, keys: np.ndarray, text: np.ndarray) -> list[tuple]:
-        part = parts_of(keys, count)
-        order = np.lexsort((text, keys, part))
-        part, keys, text = part[order], keys[order], text[order]
-        out = []
-        for p in np.unique(part):
-            a, b = np.searchsorted(part, (p, p + 1))
-            own, reps = np.unique(keys[a:b], return_counts=True)
-            out.append((kind, int(p), name, None, pack_sorted(own), pack(reps.astype(np.uint32)), pack(text[a:b].astype(np.uint32))))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         base = np.log10((lexicon.counts + 1) / (lexicon.total + lexicon.distinct + 1))
@@ -299,7 +304,7 @@ def send(docs: DataFrame, shared, parts: int, rare_parts: int) -> DataFrame:
             ids = b.column(0).to_pylist()
             read = read_batch(b.column(1).to_pylist(), lexicon)
             n = len(ids)
-            out = rows(BIGRAM, parts, name, bigram_keys(read), read.text) + rows(RARE, rare_parts, name, read.rare_key, read.rare_text)
+            out = requests(BIGRAM, parts, name, bigram_keys(read), read.text) + requests(RARE, rare_parts, name, read.rare_key, read.rare_text)
             flat = [np.bincount(read.text, weights=x, minlength=n) for x in (base[read.current], known[read.current].astype(float), np.ones(len(read.current)))]
             docs_ = pack(np.array([[i or 0, i is None] for i in ids], np.int64).reshape(-1))
             out.append((OWN, zlib.crc32(name.encode()) % parts, name, docs_, *(pack(x) for x in flat)))
@@ -357,18 +362,169 @@ def gather(b: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+class Hashes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+def read_hashed(texts: list[bytes | None], known: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (0 for an end), contexts and texts of all tokens."""
+    if len(known) > 1 << 20:
+        known.clear()
+    ids = []
+    for t in texts:
+        mine = [known[w] for w in tokens(t)]
+        mine.append(0)
+        ids.append(np.array(mine, np.uint64))
+    current = np.concatenate([np.zeros(1, np.uint64), *ids])
+    return current[1:], current[:-1], np.repeat(np.arange(len(texts)), [len(x) for x in ids])
+
+
+def hashed_bigrams(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ a >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + b
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(29)
+
+
+def count_hashed(docs: DataFrame) -> DataFrame:
+    """(a, b, c): counts of all training bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for batch in batches:
+            b, a, _ = read_hashed([t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(d)], known)
+            _, at, n = np.unique(hashed_bigrams(a, b), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+    return docs.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("c"))
+
+
+def _keyed(rows: DataFrame, kind: int, parts: int) -> DataFrame:
+    """(kind, part, key, c, value) of rows(a, b, c, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            key = hashed_bigrams(a, b) if kind == BIGRAM else b
+            own = [pa.array(np.full(len(key), kind, np.int32)), pa.array(parts_of(key, parts)), pa.array(key.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*own, batch.column(2), batch.column(3)], ["kind", "part", "key", "c", "value"])
+
+    return rows.select("a", "b", "c", "value").mapInArrow(run, "kind int, part long, key long, c long, value double")
+
+
+def full_scores(plain: DataFrame, words: DataFrame, texts: int, scratch: Scratch, per_part: int) -> tuple[DataFrame, int]:
+    """Scores by the model in which every training word is a class of its own, and the number of training tokens.
+
+    Every token is first given its backed-off probability, the product of its unigram and its context's weight, which depend
+    on one word each; the bigram table holds what a seen bigram adds to the logarithm of that. So words and bigrams are asked for
+    in one pass, and weights stay in tables partitioned by word."""
+    spark = scratch.spark
+    types = words.select(F.xxhash64("word").alias("w"), "c").groupBy("w").agg(F.sum("c").alias("c"))
+    if texts:
+        types = types.union(spark.range(1).select(F.lit(0).cast("long"), F.lit(texts).cast("long")))
+    types = scratch.save(types, "types")
+
+    def histogram(table: DataFrame) -> list[int]:
+        n = {r.c: r["count"] for r in table.where(F.col("c") <= CUTOFF + 1).groupBy("c").count().collect()}
+        return [0] + [n.get(r, 0) for r in range(1, CUTOFF + 2)]
+
+    distinct, total = (int(x or 0) for x in types.agg(F.count(F.lit(1)), F.sum("c")).first())
+    n = histogram(types)
+    d = discounts(n)
+    share, end, unseen = 1.0, 0.5, 0.5
+    if total:
+        mass = (total - sum((1 - d[r]) * r * n[r] for r in range(1, CUTOFF + 1))) / total
+        share = total / (total + 1.0) if mass >= 1 - 1e-15 else 1.0
+        unseen = 1 - mass * share
+        end = texts * (d[texts] if texts <= CUTOFF else 1.0) / total * share
+    unseen /= distinct + 1  # as many unseen words are assumed as there are others
+    counted = lambda c, by: F.when(c <= CUTOFF, c * F.element_at(F.array(*[F.lit(float(x)) for x in by[1:]]), F.least(c, F.lit(CUTOFF)).cast("int"))).otherwise(c.cast("double"))
+
+    plain_bigrams = scratch.save(count_hashed(plain), "bigrams")
+    by = discounts(histogram(plain_bigrams))
+    p = counted(F.col("c"), d) / max(total, 1) * share
+    successors = types.select(F.col("w").alias("b"), p.alias("p"))
+    bigrams = scratch.save(plain_bigrams.join(successors, "b").select("a", "b", "c", "p", counted(F.col("c"), by).alias("mass")), "masses")
+    scratch.drop(plain_bigrams)
+    sums = bigrams.groupBy(F.col("a").alias("w")).agg(F.sum("mass").alias("mass"), F.sum("p").alias("seen"))
+    contexts = types.join(sums, "w").select("w", "c", p.alias("p"), "seen", (F.col("mass") / F.col("c")).alias("mass"))
+    open_ = 1 - F.col("seen") > 1e-12
+    none = open_ & (F.col("mass") > 1 - 1e-12)  # nothing was discounted: half a token is set aside
+    kept = F.when(none, 1 - 0.5 / (F.col("c") + 0.5)).otherwise(F.col("mass"))
+    scale = F.when(open_, kept / F.col("mass")).otherwise(1 / F.col("mass"))
+    backoff = F.when(open_, (1 - kept) / (1 - F.col("seen"))).otherwise(1e-300)
+    contexts = scratch.save(contexts.select("w", "c", F.log10("p").alias("p"), F.log10(scale / F.col("c")).alias("scale"), F.log10(backoff).alias("backoff")), "contexts")
+    row = contexts.where("w = 0").first()
+    ends = np.array([math.log10(end) + (row.backoff if row else 0.0), math.log10((texts + 1) / (total + distinct + 1)), float(texts > 0), 1.0])
+
+    parts = max(1, -(-total // per_part))
+    own = contexts.select(F.col("w").alias("a"), F.col("scale").alias("s"), F.col("backoff").alias("o"))
+    gains = bigrams.join(own, "a").select("a", "b", "c", (F.col("s") + F.log10("mass") - F.log10("p") - F.col("o")).alias("value"))
+    word_rows = contexts.where("w <> 0").select(F.col("w").alias("a"), F.col("w").alias("b"), "c", (F.col("p") + F.col("backoff")).alias("value"))
+    tables = _keyed(gains, BIGRAM, parts).unionByName(_keyed(word_rows, RARE, parts))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for k, batch in enumerate(batches):
+            name = f"{TaskContext.get().partitionId()}-{k}"
+            ids = batch.column(0).to_pylist()
+            if not ids:
+                continue
+            b, a, text = read_hashed(batch.column(1).to_pylist(), known)
+            out = requests(BIGRAM, parts, name, hashed_bigrams(a, b), text) + requests(RARE, parts, name, b[b != 0], text[b != 0])
+            flat = np.repeat(ends[:, None], len(ids), axis=1)
+            docs_ = pack(np.array([[i or 0, i is None] for i in ids], np.int64).reshape(-1))
+            out.append((OWN, zlib.crc32(name.encode()) % parts, name, docs_, *(pack(x) for x in flat[:3])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 4), strict=True)], [x.split()[0] for x in SENT.split(", ")])
+
+    def reply(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        key = table["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        key, c, value = key[order], table["c"].to_numpy(np.int64)[order], table["value"].to_numpy(np.float64)[order]
+        out = {x.split()[0]: [] for x in SUMS.split(", ")}
+        for r in asked.itertuples(index=False):
+            if r.kind == OWN:
+                values = (r.docs, r.keys, r.reps, r.places, None)
+            else:
+                keys, reps, places = unpack_sorted(r.keys, np.uint64), unpack(r.reps, np.uint32), unpack(r.places, np.uint32)
+                total_of = lambda x, reps=reps, places=places: pack(np.bincount(places, weights=np.repeat(x, reps)))
+                n, v = look_up(keys, key, c), look_up(keys, key, value)
+                if r.kind == BIGRAM:
+                    values = (None, total_of(v), None, None, None)
+                else:
+                    v = np.where(n > 0, v, math.log10(unseen))
+                    ones = total_of(np.ones(len(keys)))
+                    values = (None, total_of(v), total_of(np.log10((n + 1) / (total + distinct + 1))), total_of((n > 0).astype(float)), ones)
+            for k, x in zip(out, (r.batch, *values), strict=True):
+                out[k].append(x)
+        return pd.DataFrame(out)
+
+    sums = plain.mapInArrow(ask, SENT).groupBy("kind", "part").cogroup(tables.groupBy("kind", "part")).applyInPandas(reply, SUMS)
+    schema = "doc_id string, n_tokens long, n_known long, base_score double, score double"
+    found = sums.groupBy("batch").applyInPandas(gather, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return found.withColumn("n_tokens", F.col("n_tokens") + 1), total  # the end
+
+
 def katz_scores(docs: DataFrame, spark: SparkSession, vocabulary: int = VOCABULARY, per_part: int = PER_PART) -> DataFrame:
     """Trains on the texts whose doc_id isn't held out and scores all of docs(doc_id, text): one row per row with
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Null texts count as empty: their only token is the end. A null doc_id is in training and stays null. Repeated
-    rows count as often as they occur. Only doc_id and text are read. No rows: no rows. Words outside the vocabulary
-    are told apart by a 64-bit hash."""
+    rows count as often as they occur. Only doc_id and text are read. No rows: no rows. Words are told apart by a 64-bit
+    hash, with a vocabulary (CLASSES at most) those outside it."""
+    if CLASSES < vocabulary < VOCABULARY:
+        raise ValueError("the class model has 16-bit classes")
     scratch = Scratch(spark, "katz")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     texts = plain.where(~held).count()
     words = scratch.save(word_counts(plain).groupBy("word").agg(F.sum("n").alias("c")), "words")
+    if vocabulary == VOCABULARY:
+        found, total = full_scores(plain, words, texts, scratch, per_part)
+        return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     lexicon = build_lexicon(words, texts, vocabulary)
     shared = spark.sparkContext.broadcast(lexicon)
     parts = max(1, -(-lexicon.total // per_part))

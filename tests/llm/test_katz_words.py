@@ -1,0 +1,40 @@
+import math
+import zlib
+from collections import Counter
+
+from facteng.llm import lm
+
+
+def test_bigrams_of_all_words_count(spark):
+    """More words than 16-bit classes can tell apart: each still has its own bigrams."""
+    n = 75_008
+    texts = [" ".join(f"v{k}" for k in range(at, at + 128)) for at in range(0, n, 128)]
+    rows = [(i, t) for i, t in enumerate([t for t in texts for _ in range(2)])] + [(5000 + i, "v3 v2 v3 v4 new v5 v6") for i in range(20)]
+    rows += [(6000 + i, f"v{i} v{i * i} a{i} b{i}") for i in range(200)]
+    got = {r.doc_id: r for r in lm.katz_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark, per_part=1 << 15).collect()}
+    train = [t.split() + [None] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, big = Counter(w for t in train for w in t), Counter(x for t in train for x in zip([None] + t, t, strict=False))
+    assert len(c) > lm.CLASSES
+    total, tally = sum(c.values()), lambda x: [0] + [sum(v == r for v in x.values()) for r in range(1, 7)]
+    d, e = lm.discounts(tally(c)), lm.discounts(tally(big))
+    cut = lambda v, by: v * by[v] if v <= lm.CUTOFF else v
+    p = {w: cut(v, d) / total for w, v in c.items()}
+    unseen = (1 - math.fsum(p.values())) / (len(c) + 1)
+    after = {}
+    for (a, b), v in big.items():
+        after.setdefault(a, []).append((b, v))
+
+    def log(a, b):
+        if a not in after:
+            return math.log10(p.get(b, unseen))
+        mass, seen = sum(cut(v, e) for _, v in after[a]) / c[a], sum(p[x] for x, _ in after[a])
+        kept = mass if mass <= 1 - 1e-12 else 1 - 0.5 / (c[a] + 0.5)
+        if (a, b) in big:
+            return math.log10(kept / mass * cut(big[a, b], e) / c[a])
+        return math.log10((1 - kept) / (1 - seen) * p.get(b, unseen))
+
+    assert len(got) == len(rows)
+    for i, t in rows:
+        s = t.split() + [None]
+        assert abs(got[i].score - sum(log(a, b) for a, b in zip([None] + s, s, strict=False))) < 1e-6 and got[i].n_tokens == len(s) and got[i].train_tokens == total
+        assert got[i].n_known == sum(w in c for w in s)
