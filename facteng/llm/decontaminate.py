@@ -6,7 +6,8 @@ differ by more than an eighth of the radius, so each item is indexed under all n
 window looks up its own values; nothing within the radius is missed. Candidates are verified by the exact
 weighted Jaccard similarity of their shingles (shingles weigh as often as they occur).
 
-Windows that share no shingle with any item of their size have similarity zero and aren't fingerprinted. With five
+Windows that share no shingle with any item of their size have similarity zero and aren't fingerprinted. Repeated shingles
+are numbered by occurrence before they are fingerprinted, which turns the weighted similarity into that of plain sets: so with five
 words, a similarity of 0.8 leaves an angle of at most 27 degrees between the two sums behind the fingerprints, that is
 9.7 differing bits expected with a deviation of 2.9; the default radius of 24 lies five deviations above.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, documents, maybe_broadcast
-from .native_text import hashes, overlap, shingles, simhash, words
+from .native_text import hashes, numbered, overlap, repeats, shingles, simhash, words
 
 BLOCKS = 8
 
@@ -76,14 +77,15 @@ def _for_width(own: DataFrame, items: DataFrame, scratch: Scratch, w: int, n_ite
     few = maybe_broadcast(ranges.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_t"), int(n_docs) + int(n_ranges or 0), 48)
 
     inside = own.join(few, own["doc_id"].eqNullSafe(few["_d"]) & (own["text_hash"] == few["_t"])).select("doc_id", "text_hash", "ranges", hashes(words(F.col("text"))).alias("_w"))
-    inside = inside.select("doc_id", "text_hash", "ranges", sh.alias("sh"))
+    inside = inside.select("doc_id", "text_hash", "ranges", sh.alias("sh")).withColumn("rep", repeats(F.col("sh")))
     cut = lambda r: F.transform(F.sequence(r["low"], r["high"]), lambda s: F.struct(r["m"].alias("m"), s.alias("s"), F.slice(F.col("sh"), s + 1, r["m"]).alias("ws")))
-    windows = inside.select("doc_id", "text_hash", F.inline(F.flatten(F.transform("ranges", cut))))
-    windows = windows.withColumn("fp", simhash(F.col("ws"), planes))
+    windows = inside.select("doc_id", "text_hash", "rep", F.inline(F.flatten(F.transform("ranges", cut))))
+    again = F.col("rep") & repeats(F.col("ws"))  # hardly any text repeats a shingle, and the others need no look at each window
+    windows = windows.select("doc_id", "text_hash", "m", "s", "ws", simhash(F.when(again, numbered(F.col("ws"))).otherwise(F.col("ws")), planes).alias("fp"))
 
     # Items under every value of each block that is near enough; windows under their own.
     near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda v: F.bit_count(v) <= radius // BLOCKS)
-    coded = items.select("item_id", "m", simhash(F.col("sh"), planes).alias("ifp"))
+    coded = items.select("item_id", "m", simhash(numbered(F.col("sh")), planes).alias("ifp"))
     at = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     coded = coded.select("*", at.alias("b")).select("item_id", "m", "ifp", "b", F.explode(F.transform(near, lambda v: v.bitwiseXOR(F.element_at(F.array(*[_byte(F.col("ifp"), k) for k in range(BLOCKS)]), F.col("b") + 1)))).alias("value"))
     coded = maybe_broadcast(coded, n_items * BLOCKS * 93, 56)

@@ -25,6 +25,17 @@ def shingles(hashed: Column, width: int) -> Column:
     return F.when(n > 0, F.transform(F.slice(hashed, 1, F.greatest(n, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
 
 
+def repeats(a: Column) -> Column:
+    return F.size(F.array_distinct(a)) < F.size(a)
+
+
+def numbered(a: Column) -> Column:
+    """The array with each later occurrence of an element replaced by a hash of it and its number, so none repeats and
+    the common elements of two such arrays are those of a and b, repeats counted."""
+    before = lambda x, i: F.size(F.filter(F.slice(a, 1, i), lambda y: y == x))
+    return F.transform(a, lambda x, i: F.when(before(x, i) == 0, x).otherwise(F.xxhash64(x, before(x, i))))
+
+
 def simhash(shingle: Column, planes: int) -> Column:
     """64-bit fingerprint of an array of hashes: a bit is set if it is set in over half of them.
 
