@@ -27,11 +27,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run of 32 or more, as the leftmost run of [0-9a-f]+ is
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
+_BREAK = r"(?:\s|\\[nr])"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----{_BREAK}*((?:[A-Z][A-Za-z0-9-]{{0,40}}:\x20?[^\s\\]{{1,200}}{_BREAK}+)*)([A-Za-z0-9+/=\s\\]{{16,}}?)-----END \1-----")
+_ENCRYPTED = re.compile(rf"Proc-Type:\x20?4,ENCRYPTED{_BREAK}+DEK-Info:\x20?[A-Z0-9-]+,([0-9A-Fa-f]{{16}}|[0-9A-Fa-f]{{32}}){_BREAK}")
+_DECODED_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 #: Algorithm names of SSH public keys.
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+SSH_FILE = b"openssh-key-v1\0"
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -73,7 +77,8 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 def is_der_key(data: bytes) -> bool:
     """A SEQUENCE over all of data whose nested values all parse, laid out like a private key (a version,
-    then key numbers, an algorithm or an octet string) or a public key (an algorithm, then a bit string)."""
+    then key numbers, an algorithm or an octet string), an encrypted one (an algorithm, then an octet string) or a public key (an
+    algorithm, then a bit string)."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = der_items(data)
@@ -91,7 +96,7 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in items]
     if tags[0] == 0x02 and len(items[0][1]) == 1 and items[0][1][0] <= 2:
         return (tags[1] == 0x02 and all(t == 0x02 for t in tags[:9]) and len(tags) >= 6) or (tags[1] == 0x30 and 0x04 in tags) or tags[1] == 0x04
-    if tags == [0x30, 0x03]:
+    if tags in ([0x30, 0x03], [0x30, 0x04]):  # the latter is an encrypted private key
         algorithm = der_items(items[0][1])
         return bool(algorithm) and algorithm[0][0] == 0x06
     return False
@@ -99,18 +104,58 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """Length-prefixed fields that use up all bytes and begin with a known algorithm name; or a private key file."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return len(data) > 60
-    fields, at = [], 0
+    if data.startswith(SSH_FILE):
+        return is_ssh_file(data[len(SSH_FILE) :])
+    fields = ssh_fields(data)
+    return fields is not None and len(fields) >= 2 and fields[0] in SSH_NAMES
+
+
+def ssh_field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """(field, place after it) of a length-prefixed field."""
+    n = int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) else None
+
+
+def ssh_fields(data: bytes) -> list[bytes] | None:
+    """Length-prefixed fields that use up data exactly."""
+    out, at = [], 0
     while at < len(data):
-        if at + 4 > len(data):
+        got = ssh_field(data, at)
+        if got is None:
+            return None
+        out.append(got[0])
+        at = got[1]
+    return out
+
+
+def is_ssh_file(data: bytes) -> bool:
+    """What follows the magic of a private key file: cipher, derivation, its options, number of keys, that many public keys
+    (fields of their own) and the private part in blocks of eight bytes; authenticated ciphers add a tag of 16 bytes."""
+    head, at = [], 0
+    for _ in range(3):
+        got = ssh_field(data, at)
+        if got is None:
+            return False
+        head.append(got[0])
+        at = got[1]
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not head[0] or not head[1] or not 1 <= keys <= len(data):
+        return False
+    for k in range(keys + 1):
+        got = ssh_field(data, at)
+        if got is None:
             return False
-        n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
+        part, at = got
+        if k < keys and len(ssh_fields(part) or []) < 2:
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return len(fields) >= 2 and fields[0] in SSH_NAMES
+    if not part or len(part) % 8 or head[0] == b"none" and part[:4] != part[4:8]:
+        return False
+    return len(data) - at == (16 if b"gcm" in head[0] or b"poly1305" in head[0] else 0)
+
+
+def key_kinds(data: bytes) -> list[str]:
+    return ["der"] if is_der_key(data) else ["ssh"] if is_ssh_key(data) else []
 
 
 def is_signed_token(text: str) -> bool:
@@ -133,20 +178,22 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     for m in HEX.finditer(text):
         found.append(("hex", *m.span()))
-        if len(m[0]) >= 64 and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append(("der", *m.span()))
+    # Runs of lower-case digits alone and those of any case, which may be longer.
+    for start, end in {m.span() for pattern in (HEX, _DECODED_HEX) for m in pattern.finditer(text)}:
+        if end - start >= 64 and (end - start) % 2 == 0:
+            found += [(kind, start, end) for kind in key_kinds(bytes.fromhex(text[start:end]))]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            data = decode_base64(re.sub(r"\\[nr]|\s", "", m[2]))
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            data = decode_base64(re.sub(r"\\[nr]|\s", "", m[3]))
+            sealed = _ENCRYPTED.search(m[2])  # such a body is cipher text in blocks of the size of the initial vector
+            if data and (key_kinds(data) or (sealed and len(data) % (len(sealed[1]) // 2) == 0)):
                 found.append(("pem", *m.span()))
     for m in _B64.finditer(text):
-        if m[0][0] in "MA":  # base64 of 0x30 begins with M, of a short length prefix with AAAA
-            data = decode_base64(m[0])
-            if data and is_der_key(data):
-                found.append(("der", *m.span()))
-            elif data and m[0].startswith("AAAA") and is_ssh_key(data):
-                found.append(("ssh", *m.span()))
+        skip = 1 if m[0][0] in "nrt" and text[m.start() - 1 : m.start()] == "\\" else 0  # rest of an escaped line break
+        plain = m[0][skip:].lstrip("/")
+        if plain[:1] in ("M", "A", "b"):  # base64 of 0x30 begins with M, of a short length prefix with AAAA, of a key file with b3
+            data = decode_base64(plain)
+            found += [(kind, m.end() - len(plain), m.end()) for kind in key_kinds(data or b"")]
     if "." in text and ("ey" in text or "ew" in text):
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
