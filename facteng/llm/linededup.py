@@ -1,13 +1,17 @@
 """Line dedup by an exact set-similarity join over all lines, in built-in expressions only.
 
-A line is the set of its words. Words are ordered by rarity, counted over the corpus in 16,384 hash buckets: any
+A line is the set of its words. Words are ordered by rarity, counted over the corpus in 2**17 hash buckets: any
 global order keeps the join exact, rarity makes it fast, and the bucketed counts have a fixed size. Two lines of
-Jaccard similarity t share a word among their first n - ceil(t n) + 1 (prefix filter). Candidates must also fit in length, in
-the number of words that can still follow the shared one (positional filter), and in a 64-bit parity signature, whose
-differing bits bound the overlap. What is left is verified on the whole sets.
-
-Equal sets are merged first, so copies of a line are one entry of the join whatever their number. A line goes if some
-earlier line (by doc_id, then place) has similarity t or more, whether that one is kept or not.
+Jaccard similarity t share a word among their first n - ceil(t n) + 1 (prefix filter), the smaller one among its first
+n - ceil(2 t n / (1 + t)) + 1. Candidates must also fit in length, in the number of words that can still follow the shared
+one (positional filter), and in a 64-bit parity signature, whose differing bits bound the overlap. What is left is verified on the
+words themselves.
+
+Equal sets are merged first, by 128 bits of their hash, so copies of a line are one entry of the join whatever their number. A
+line goes if some earlier line (by doc_id, then place) has similarity t or more, whether that one is kept or not. So
+all that counts of a set is whether any earlier one is similar: one witness settles it. Witnesses are sought first among the few
+sets just before it that share the least hash of a prefix word; the join then looks for partners of the sets that have none
+yet. A group of near copies so costs pairs in proportion to its size, and no decision is lost.
 """
 
 from __future__ import annotations
@@ -16,12 +20,19 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, documents, maybe_broadcast, text_or_empty
 from .native_text import hashes, words
 
-BUCKETS = 1 << 14
-LOW = (1 << 56) - 1
+#: Hash buckets in which words are counted.
+BUCKETS = 1 << 17
+#: Sets with one key that are looked through together for witnesses; larger groups are dealt out.
+GROUP = 4096
+#: Earlier sets that are tried as witnesses, for each key.
+BACK = 3
+#: In packed postings larger sets have this size, which the filters let pass.
+WIDE = (1 << 16) - 1
 
 
 def _bucket(h: Column) -> Column:
@@ -32,8 +43,9 @@ def rarity(docs: DataFrame) -> bytes:
     """One byte for each hash bucket: a logarithmic class of how many words of the corpus fall into it."""
     hashed = docs.select(F.explode(words(F.col("text"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     out = bytearray(BUCKETS)
-    for r in hashed.groupBy("b").count().collect():  # at most BUCKETS rows
-        out[r.b] = min(126, 1 + int(3 * (r["count"].bit_length() - 1 + r["count"] / (1 << (r["count"].bit_length() - 1)) - 1)))
+    counted = hashed.groupBy("b").agg(F.least(F.lit(126), F.floor(F.log2(F.count(F.lit(1))) * 3) + 1).cast("int").alias("c"))
+    for r in counted.collect():  # at most BUCKETS rows
+        out[r.b] = r.c
     return bytes(out)
 
 
@@ -41,8 +53,13 @@ def codes(text: Column, classes: bytes) -> Column:
     """The set of words as an ascending array of longs: class of rarity in the top byte, hash below."""
     table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant
 
-    code = lambda h: F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
-    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(hashes(words(text))), code)))
+    code = lambda h: F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(F.array_distinct(hashes(words(text))), code))
+
+
+def _once(c: Column) -> Column:
+    """A generator of one row with the value: what reads the column afterwards doesn't evaluate the expression again."""
+    return F.explode(F.array(c))
 
 
 def _parity(array: Column) -> Column:
@@ -57,9 +74,90 @@ def _ceil_share(n: Column, t: Fraction) -> Column:
     return F.floor((n * t.numerator + (t.denominator - 1)) / t.denominator).cast("int")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_or_empty().cast("string").alias("text"))
-    return own.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_or_empty().cast("string").alias("text"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+
+
+PLACE = ("doc_id", "th", "line")
+
+
+def _fits(t: Fraction, n: Column, m: Column, sig: Column, sig_: Column) -> Column:
+    """Whether sets of n and m words with these parities can be similar: overlap o is enough if o (a + b) >= a (n + m)."""
+    a, b = t.numerator, t.denominator
+    differ = F.bit_count(sig.bitwiseXOR(sig_))
+    return (F.least(n, m) * b >= F.greatest(n, m) * a) & ((n + m - differ) * (a + b) >= a * (n + m) * 2)
+
+
+def _neighbours(sets: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
+    """(k, k_): for sets with a likely witness among the few before them in a group of one key, the likeliest."""
+    other = F.array_min(F.transform("prefix", lambda c: F.hash(c, F.lit(1))))
+    keys = F.array_distinct(F.array(F.xxhash64(F.array_min("prefix"), F.lit(0)), F.xxhash64(F.array_max("prefix"), F.lit(1)), F.xxhash64(other, F.lit(2))))
+    keyed = sets.select(F.explode(keys).alias("key"), "k", "n", "sig", *PLACE)
+    large = keyed.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("parts"))
+    large = scratch.save(large, "large")
+    many = large.count()
+    if many:  # any earlier partner serves, so a large group may be dealt out
+        keyed = keyed.join(maybe_broadcast(large, many, 32), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("k"), "parts"), F.lit(0).cast("long")))
+    else:
+        keyed = keyed.withColumn("part", F.lit(0).cast("long"))
+    before = Window.partitionBy("key", "part").orderBy(*PLACE)
+    tried = F.array(*[F.lag(F.struct(F.col("k").alias("k_"), F.col("n").alias("n_"), F.col("sig").alias("sig_")), d).over(before) for d in range(1, BACK + 1)])
+    found = keyed.select("k", "n", "sig", tried.alias("tried")).select("k", "n", "sig", F.inline("tried"))
+    found = found.where(F.col("k_").isNotNull() & (F.col("k") != F.col("k_")) & _fits(t, F.col("n"), F.col("n_"), F.col("sig"), F.col("sig_")))
+    share = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_"))) / (F.col("n") + F.col("n_"))
+    return found.groupBy("k").agg(F.min(F.struct(share.alias("share"), "k_")).alias("best")).select("k", F.col("best.k_").alias("k_"))
+
+
+def _partners(sets: DataFrame, t: Fraction) -> DataFrame:
+    """(k, k_): candidates of the prefix join in which at least one set isn't late yet."""
+    a, b = t.numerator, t.denominator
+    code = F.col("code").cast("long")
+    packed = F.shiftleft(code, 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.shiftleft(F.least("pos", F.lit(WIDE >> 1)).cast("long"), 1)).bitwiseOR(F.col("late").cast("long"))
+    posts = sets.select("k", "sig", "n", "late", F.posexplode("prefix").alias("pos", "code")).select("k", "sig", packed.alias("p"))
+    x, y = posts.where(F.col("p").bitwiseAND(F.lit(1)) == 0), posts.select(F.col("k").alias("k_"), F.col("sig").alias("sig_"), F.col("p").alias("p_"))
+    size = lambda p: F.shiftright(p, 16).bitwiseAND(F.lit(WIDE)).cast("int")
+    at = lambda p: F.shiftright(p, 1).bitwiseAND(F.lit(WIDE >> 1)).cast("int")
+    n, m, i, j = size(F.col("p")), size(F.col("p_")), at(F.col("p")), at(F.col("p_"))
+    wide = (F.greatest(n, m) == WIDE) & (F.least(n, m) * b >= WIDE * a)
+    # The smaller set of a pair needs a shorter prefix (its share of the overlap is larger).
+    short = F.when(n <= m, i <= n - _ceil_share(n, 2 * t / (1 + t))).otherwise(j <= m - _ceil_share(m, 2 * t / (1 + t)))
+    fits = wide | (short & (F.least(n - i, m - j) * (a + b) >= a * (n + m)) & _fits(t, n, m, F.col("sig"), F.col("sig_")))
+    once = (F.col("k") < F.col("k_")) | ((F.col("k") > F.col("k_")) & (F.col("p_").bitwiseAND(F.lit(1)) == 1))
+    return x.join(y, (F.shiftright("p", 32) == F.shiftright("p_", 32)) & once & fits).select("k", "k_").distinct()
+
+
+def _late(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
+    """(k, j): the sets not late yet that are similar to an earlier one, of the given candidates. Each pair is taken from the
+    later set's side; only its two lines are read again from the texts."""
+    asked = pairs.select("k").union(pairs.select("k_")).distinct()
+    firsts = scratch.save(sets.select("k", "j", "late", F.struct(*PLACE).alias("first")).join(asked, "k", "left_semi"), "firsts")
+    n = firsts.count()
+    rename = lambda df, x: df.select(*[F.col(c).alias(c + x) for c in df.columns])
+    one, two = (maybe_broadcast(rename(firsts, x), n, 96) for x in ("", "_"))
+    both = pairs.join(one, "k").join(two, "k_")
+    ahead = F.col("first") > F.col("first_")
+    turned = [F.when(ahead, F.col(c)).otherwise(F.col(f"{c}_")).alias(c) for c in ("k", "j", "late", "first")]
+    back = [F.when(ahead, F.col(f"{c}_")).otherwise(F.col(c)).alias(f"{c}_") for c in ("k", "j", "first")]
+    useful = scratch.save(both.select(*turned, *back).where(~F.col("late")).select("k", "j", "first", "k_", "j_", "first_").distinct(), "useful")
+    # The lines of these pairs.
+    places = scratch.save(useful.select("first").union(useful.select("first_")).distinct().select("first.*"), "places")
+    wanted = maybe_broadcast(places.select(*[F.col(c).alias(f"_{c}") for c in PLACE]), places.count(), 48)
+    held = places.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    few = texts.join(maybe_broadcast(held, places.count(), 40), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line"))
+    whole = scratch.save(_lines(few).join(wanted, same, "left_semi").select(F.struct(*PLACE).alias("first"), "content").dropDuplicates(["first"]), "whole")
+    other = whole.select(F.col("first").alias("first_"), F.col("content").alias("content_"))
+    met = useful.join(whole, "first").join(other, "first_").select("k", "j", _once(F.array_distinct(words(F.col("content")))).alias("w"), "content_")
+    met = met.select("k", "j", "w", _once(F.array_distinct(words(F.col("content_")))).alias("w_"))
+    enough = F.size(F.array_intersect("w", "w_")) * (t.numerator + t.denominator) >= (F.size("w") + F.size("w_")) * t.numerator
+    late = scratch.save(met.where(enough).select("k", "j").distinct(), "late")
+    for table in (firsts, useful, places, whole):
+        scratch.drop(table)
+    return late
 
 
 def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8, least_words: int = 5) -> DataFrame:
@@ -71,81 +169,57 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     other. No rows: no rows."""
     t = Fraction(similarity).limit_denominator(1000)
     scratch = Scratch(spark, "lines")
-    classes = rarity(docs)
-    place = F.struct("doc_id", "th", "line")
-    coded = _lines(docs).select("doc_id", "th", "line", codes(F.col("content"), classes).alias("codes")).withColumn("n", F.size("codes")).where(F.col("n") >= least_words)
+    classes, texts = rarity(docs), _texts(docs)
+    coded = _lines(texts).select(*PLACE, _once(codes(F.col("content"), classes)).alias("codes")).withColumn("n", F.size("codes")).where(F.col("n") >= least_words)
     # Of a line only the short hashes of its prefix, a parity signature and a key of the set are kept.
     prefix = F.transform(F.slice("codes", 1, F.col("n") - _ceil_share(F.col("n"), t) + 1), lambda c: F.hash(c))
-    lines = scratch.save(coded.select("doc_id", "th", "line", F.xxhash64("codes", "n").alias("k"), "n", _parity(F.col("codes")).alias("sig"), prefix.alias("prefix")), "lines")
-    narrow = lines.select("doc_id", "th", "line", "k")
+    key = [F.xxhash64("codes").alias("k"), F.xxhash64(F.lit(1), "codes").alias("j")]
+    lines = scratch.save(coded.select(*PLACE, *key, "n", _parity(F.col("codes")).alias("sig"), prefix.alias("prefix")), "lines")
 
     # Every set once, with its first place.
-    sets = lines.groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    a, b = t.numerator, t.denominator
-    posts = sets.select("k", "sig", "n", F.posexplode("prefix").alias("pos", "code"))
-    pack = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # keeps rows of the join short
-    # The smaller set of a pair needs a shorter prefix (its share of the overlap is larger).
-    short = F.col("pos") <= F.col("n") - _ceil_share(F.col("n"), 2 * t / (1 + t))
-    x = posts.where(short).select("code", "k", "sig", pack.alias("p"))
-    y = posts.select(F.col("code").alias("code_"), F.col("k").alias("k_"), F.col("sig").alias("sig_"), pack.alias("p_"))
-    n_x, n_y = F.shiftright("p", 32), F.shiftright("p_", 32)
-    rest = F.least(n_x - F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)), n_y - F.col("p_").bitwiseAND(F.lit(0xFFFFFFFF)))
-    need = (a + b, a * (n_x + n_y))  # overlap o is enough if o (a + b) >= a (n_x + n_y)
-    differ = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_")))
-    order = (n_x < n_y) | ((n_x == n_y) & (F.col("k") < F.col("k_")))
-    fits = (n_x * b >= n_y * a) & (rest * need[0] >= need[1]) & ((n_x + n_y - differ) * need[0] >= need[1] * 2)
-    found = x.join(y, (F.col("code") == F.col("code_")) & order & fits)
-    pairs = scratch.save(found.select(F.least("k", "k_").alias("k"), F.greatest("k", "k_").alias("k_")).distinct(), "pairs")
-
-    # Whole sets of the candidates alone, made again from the first line of each.
-    asked = pairs.select("k").union(pairs.select("k_")).distinct()
-    firsts = scratch.save(narrow.join(asked, "k").groupBy("k").agg(F.min(place).alias("first")).select("k", "first.*"), "firsts")
-    few = maybe_broadcast(firsts.select(F.col("k"), F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("line").alias("_l")), firsts.count(), 40)
-    chosen = _lines(docs).join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("line") == F.col("_l")))
-    whole = scratch.save(chosen.dropDuplicates(["k"]).select("k", place.alias("first"), codes(F.col("content"), classes).alias("codes")), "sets")
-    other = whole.select(F.col("k").alias("k_"), F.col("first").alias("first_"), F.col("codes").alias("codes_"))
-    # A signature of 256 bits leaves hardly any pair that isn't similar; only what is left carries whole sets.
-    mark = [f"s{j}" for j in range(4)]
-    part = lambda j: F.filter("codes", lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == j)
-    signed = scratch.save(whole.select("k", F.size("codes").alias("n"), *[_parity(part(j)).alias(mark[j]) for j in range(4)]), "signatures")
-    twin = signed.select(F.col("k").alias("k_"), F.col("n").alias("n_"), *[F.col(m).alias(f"{m}_") for m in mark])
-    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_"))) for m in mark[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_"))))
-    likely = (F.col("n") + F.col("n_") - differ) * need[0] >= a * (F.col("n") + F.col("n_")) * 2
-    near = scratch.save(pairs.join(signed, "k").join(twin, "k_").where(likely).select("k", "k_"), "likely")
-    o = F.size(F.array_intersect("codes", "codes_"))
-    checked = near.join(whole, "k").join(other, "k_").where(o * need[0] >= a * (F.size("codes") + F.size("codes_")))
-    matched = checked.select("k", "first_").union(checked.select(F.col("k_").alias("k"), F.col("first").alias("first_"))).groupBy("k").agg(F.min("first_").alias("near"))
-
-    # A line goes if its own set or a similar one has an earlier place.
-    copies = narrow.groupBy("k").agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("times"))
-    limits = copies.join(matched, "k", "left").where((F.col("times") > 1) | (F.col("near") < F.col("own")))
-    limits = scratch.save(limits.select("k", F.least("own", F.coalesce("near", "own")).alias("limit")), "limits")
-    bounded = maybe_broadcast(limits, limits.count(), 48)
-    gone = narrow.join(bounded, "k").where(place > F.col("limit"))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
+    merged = lines.groupBy("k", "j").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("n", "sig", "prefix")])
+    sets = scratch.save(merged.select("k", "j", "n", "sig", "prefix", "first.*", "times"), "sets")
+
+    near = scratch.save(_neighbours(sets, scratch, t), "near")
+    early = _late(near, sets.withColumn("late", F.lit(False)), texts, scratch, t)
+    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), early.count(), 32)
+    marked = sets.join(mark, ["k", "j"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    pairs = scratch.save(_partners(marked, t), "pairs")
+    late = early.union(_late(pairs, marked, texts, scratch, t))
+
+    # A line goes if its set is late or has an earlier place.
+    late = maybe_broadcast(late.withColumn("late", F.lit(True)), late.count(), 32)
+    limits = sets.join(late, ["k", "j"], "left").where(F.col("late") | (F.col("times") > 1))
+    limits = scratch.save(limits.select("k", "j", F.coalesce("late", F.lit(False)).alias("late"), F.struct(*PLACE).alias("first")), "limits")
+    scratch.drop(sets)
+    gone = lines.select(*PLACE, "k", "j").join(maybe_broadcast(limits, limits.count(), 72), ["k", "j"]).where(F.col("late") | (F.struct(*PLACE) > F.col("first")))
+    out = scratch.save(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines")), "gone")
+    for table in (lines, near, pairs, limits):
+        scratch.drop(table)
+    return out
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8, least_words: int = 5) -> DataFrame:
     """docs with the text of every document less its removed lines, and a column n_chars (if there is one) brought up to
     date. All rows stay; a document whose lines all go has an empty text. A text that loses nothing is unchanged, so a null
     stays null. Other columns and values are as in docs."""
-    scratch = Scratch(spark, "cut")
-    gone = scratch.save(removed_lines(docs, spark, similarity, least_words), "gone")
+    gone = removed_lines(docs, spark, similarity, least_words)
     n, total = gone.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
     bad = maybe_broadcast(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("lines").alias("_gone")), int(n) * 8 + int(total or 0), 8)
     joined = docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_t"]), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = []
-    for c in docs.columns:
-        if c.lower() == "text":
-            out.append(text.alias(c))
-        elif c.lower() == "n_chars":
-            out.append(F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c))
-        else:
-            out.append(docs[c])
-    return joined.select(*out)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): name for c, name in zip(docs.columns, names, strict=True)}
+    plain = [docs[f"`{c}`"].alias(name) for c, name in zip(docs.columns, names, strict=True)]
+    lines = F.when(F.col("_gone").isNotNull(), F.split(docs["text"], "\n", -1))
+    cut = joined.select(*plain, "_gone", _once(lines).alias("_lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col(at["text"])).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    cut = cut.select(*names, "_gone", _once(text).alias("_text"))
+    out = dict(zip(names, [F.col(x) for x in names], strict=True))
+    out[at["text"]] = F.col("_text")
+    if "n_chars" in at:
+        out[at["n_chars"]] = F.when(F.col("_gone").isNull(), F.col(at["n_chars"])).otherwise(F.length("_text").cast(docs.schema[docs.columns[names.index(at["n_chars"])]].dataType))
+    return cut.select(*[out[x].alias(c) for c, x in zip(docs.columns, names, strict=True)])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
