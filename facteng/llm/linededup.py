@@ -4,8 +4,8 @@ A line is the set of its words. Words are ordered by rarity, counted over the co
 global order keeps the join exact, rarity makes it fast, and the bucketed counts have a fixed size. Two lines of
 Jaccard similarity t share a word among their first n - ceil(t n) + 1 (prefix filter), the smaller one among its first
 n - ceil(2 t n / (1 + t)) + 1. Candidates must also fit in length, in the number of words that can still follow the shared
-one (positional filter), and in a 64-bit parity signature, whose differing bits bound the overlap. What is left is verified on the
-words themselves.
+one (positional filter), and in a 128-bit parity signature, whose differing bits bound the overlap. What is left is verified on the
+whole sets.
 
 Equal sets are merged first, by 128 bits of their hash, so copies of a line are one entry of the join whatever their number. A
 line goes if some earlier line (by doc_id, then place) has similarity t or more, whether that one is kept or not. So
@@ -17,6 +17,7 @@ yet. A group of near copies so costs pairs in proportion to its size, and no dec
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,14 @@ from .native_text import hashes, words
 BUCKETS = 1 << 17
 #: Sets with one key that are looked through together for witnesses; larger groups are dealt out.
 GROUP = 4096
+#: Hash buckets in which these keys are counted.
+SKETCH = 1 << 16
 #: Earlier sets that are tried as witnesses, for each key.
-BACK = 3
+BACK = 6
+#: Words of a short prefix, about, by which a broadcast is estimated.
+PREFIX = 16
+#: Steps in which the prefix join is made.
+TURNS = 2
 #: In packed postings larger sets have this size, which the filters let pass.
 WIDE = (1 << 16) - 1
 
@@ -62,11 +69,26 @@ def _once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def _parity(array: Column) -> Column:
-    """64 bits, each the parity of how many elements have it as their low six bits: two sets differ in at least as many
-    elements as their parities in bits."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(array, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+def _parities(array: Column, parts: int) -> list[Column]:
+    """64 * parts bits in longs s0, s1, .. (parts: 2 or 4), each bit the parity of how many elements have it as their lowest
+    bits: two sets differ in at least as many elements as their parities in bits."""
+    place = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
+
+    def those(mark) -> Column:  # of the elements whose mark is 1
+        return F.aggregate(array, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", mark(c), place(c))))
+
+    one = F.lit(1).cast("long")
+    every, low = those(lambda c: one), those(lambda c: F.shiftright(c, 6).bitwiseAND(one))
+    if parts == 2:
+        return [every.bitwiseXOR(low).alias("s0"), low.alias("s1")]
+    high, both = (those(m) for m in (lambda c: F.shiftright(c, 7).bitwiseAND(one), lambda c: F.shiftright(c, 6).bitwiseAND(F.shiftright(c, 7)).bitwiseAND(one)))
+    return [every.bitwiseXOR(low).bitwiseXOR(high).bitwiseXOR(both).alias("s0"), low.bitwiseXOR(both).alias("s1"), high.bitwiseXOR(both).alias("s2"), both.alias("s3")]
+
+
+def _differ(parts: int) -> Column:
+    """Differing bits of the columns s0, s1, .. and s0_, s1_, .."""
+    one = lambda x: F.bit_count(F.col(f"s{x}").bitwiseXOR(F.col(f"s{x}_")))
+    return sum((one(x) for x in range(1, parts)), one(0))
 
 
 def _ceil_share(n: Column, t: Fraction) -> Column:
@@ -85,79 +107,99 @@ def _lines(texts: DataFrame) -> DataFrame:
 PLACE = ("doc_id", "th", "line")
 
 
-def _fits(t: Fraction, n: Column, m: Column, sig: Column, sig_: Column) -> Column:
+def _fits(t: Fraction, n: Column, m: Column, parts: int = 2) -> Column:
     """Whether sets of n and m words with these parities can be similar: overlap o is enough if o (a + b) >= a (n + m)."""
     a, b = t.numerator, t.denominator
-    differ = F.bit_count(sig.bitwiseXOR(sig_))
-    return (F.least(n, m) * b >= F.greatest(n, m) * a) & ((n + m - differ) * (a + b) >= a * (n + m) * 2)
+    return (F.least(n, m) * b >= F.greatest(n, m) * a) & ((n + m - _differ(parts)) * (a + b) >= a * (n + m) * 2)
 
 
 def _neighbours(sets: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
-    """(k, k_): for sets with a likely witness among the few before them in a group of one key, the likeliest."""
+    """(k, k_): for every set the possible witnesses among the few before it in its groups of one key."""
     other = F.array_min(F.transform("prefix", lambda c: F.hash(c, F.lit(1))))
     keys = F.array_distinct(F.array(F.xxhash64(F.array_min("prefix"), F.lit(0)), F.xxhash64(F.array_max("prefix"), F.lit(1)), F.xxhash64(other, F.lit(2))))
-    keyed = sets.select(F.explode(keys).alias("key"), "k", "n", "sig", *PLACE)
-    large = keyed.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("parts"))
-    large = scratch.save(large, "large")
-    many = large.count()
-    if many:  # any earlier partner serves, so a large group may be dealt out
-        keyed = keyed.join(maybe_broadcast(large, many, 32), "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("k"), "parts"), F.lit(0).cast("long")))
-    else:
-        keyed = keyed.withColumn("part", F.lit(0).cast("long"))
+    keyed = sets.select(F.explode(keys).alias("key"), "k", "n", "s0", "s1", *PLACE)
+    # Keys are counted in SKETCH buckets; any earlier partner serves, so what is in a large bucket may be dealt out.
+    bucket = lambda: F.pmod("key", F.lit(SKETCH)).alias("bucket")
+    counted = keyed.groupBy(bucket()).count()
+    large = {r.bucket: -(-r["count"] // GROUP) for r in counted.where(F.col("count") > F.lit(GROUP)).collect()}  # at most SKETCH rows
+    usual = 8 * sum(large.values()) / SKETCH
+    large = {x: parts for x, parts in large.items() if parts > usual}
+    part = F.lit(0).cast("long")
+    if large:
+        dealt = sets.sparkSession.createDataFrame(list(large.items()), "bucket long, parts long")
+        keyed = keyed.withColumn("bucket", bucket()).join(F.broadcast(dealt), "bucket", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("k"), "parts"), part)
     before = Window.partitionBy("key", "part").orderBy(*PLACE)
-    tried = F.array(*[F.lag(F.struct(F.col("k").alias("k_"), F.col("n").alias("n_"), F.col("sig").alias("sig_")), d).over(before) for d in range(1, BACK + 1)])
-    found = keyed.select("k", "n", "sig", tried.alias("tried")).select("k", "n", "sig", F.inline("tried"))
-    found = found.where(F.col("k_").isNotNull() & (F.col("k") != F.col("k_")) & _fits(t, F.col("n"), F.col("n_"), F.col("sig"), F.col("sig_")))
-    share = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_"))) / (F.col("n") + F.col("n_"))
-    return found.groupBy("k").agg(F.min(F.struct(share.alias("share"), "k_")).alias("best")).select("k", F.col("best.k_").alias("k_"))
+    held = ("k", "n", "s0", "s1")
+    tried = F.array(*[F.lag(F.struct(*[F.col(c).alias(f"{c}_") for c in held]), d).over(before) for d in range(1, BACK + 1)])
+    found = keyed.withColumn("part", part).select(*held, tried.alias("tried")).select(*held, F.inline("tried"))
+    found = found.where(F.col("k_").isNotNull() & (F.col("k") != F.col("k_")) & _fits(t, F.col("n"), F.col("n_")))
+    return found.select("k", "k_").distinct()
 
 
-def _partners(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(k, k_): candidates of the prefix join in which at least one set isn't late yet."""
+def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFrame:
+    """(k, k_): candidates of the prefix join in which at least one set isn't late yet; settled sets are late. Of the words
+    every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings."""
     a, b = t.numerator, t.denominator
     code = F.col("code").cast("long")
-    packed = F.shiftleft(code, 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.shiftleft(F.least("pos", F.lit(WIDE >> 1)).cast("long"), 1)).bitwiseOR(F.col("late").cast("long"))
-    posts = sets.select("k", "sig", "n", "late", F.posexplode("prefix").alias("pos", "code")).select("k", "sig", packed.alias("p"))
-    x, y = posts.where(F.col("p").bitwiseAND(F.lit(1)) == 0), posts.select(F.col("k").alias("k_"), F.col("sig").alias("sig_"), F.col("p").alias("p_"))
+    packed = F.shiftleft(code, 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.least("pos", F.lit(WIDE)).cast("long"))
+    posts = sets.select("k", "s0", "s1", "n", "late", F.posexplode("prefix").alias("pos", "code")).where(F.pmod("code", F.lit(TURNS)) == turn)
+    posts = posts.select("k", "s0", "s1", packed.alias("p"), "late", "n", "pos")
+    short = (F.col("n") >= WIDE) | (F.col("pos") <= F.col("n") - _ceil_share(F.col("n"), 2 * t / (1 + t)))
     size = lambda p: F.shiftright(p, 16).bitwiseAND(F.lit(WIDE)).cast("int")
-    at = lambda p: F.shiftright(p, 1).bitwiseAND(F.lit(WIDE >> 1)).cast("int")
+    at = lambda p: p.bitwiseAND(F.lit(WIDE)).cast("int")
     n, m, i, j = size(F.col("p")), size(F.col("p_")), at(F.col("p")), at(F.col("p_"))
-    wide = (F.greatest(n, m) == WIDE) & (F.least(n, m) * b >= WIDE * a)
+    wide = (m == WIDE) & (n * b >= WIDE * a)
+    fits = wide | ((F.least(n - i, m - j) * (a + b) >= a * (n + m)) & _fits(t, n, m))
     # The smaller set of a pair needs a shorter prefix (its share of the overlap is larger).
-    short = F.when(n <= m, i <= n - _ceil_share(n, 2 * t / (1 + t))).otherwise(j <= m - _ceil_share(m, 2 * t / (1 + t)))
-    fits = wide | (short & (F.least(n - i, m - j) * (a + b) >= a * (n + m)) & _fits(t, n, m, F.col("sig"), F.col("sig_")))
-    once = (F.col("k") < F.col("k_")) | ((F.col("k") > F.col("k_")) & (F.col("p_").bitwiseAND(F.lit(1)) == 1))
-    return x.join(y, (F.shiftright("p", 32) == F.shiftright("p_", 32)) & once & fits).select("k", "k_").distinct()
+    same = (F.shiftright("p", 32) == F.shiftright("p_", 32)) & ((n < m) | ((n == m) & (F.col("k") != F.col("k_")))) & fits
+    held = ("k", "s0", "s1", "p")
+    long_ = lambda df: df.select(*[F.col(c).alias(f"{c}_") for c in held])
+    low = posts.where(short)
+    found = low.where(~F.col("late")).select(*held).join(long_(posts), same)
+    back = maybe_broadcast(low.where(F.col("late")).select(*held), settled * PREFIX, 48).join(long_(posts.where(~F.col("late"))), same)
+    return found.select("k", "k_").union(back.select("k", "k_")).distinct()
 
 
 def _late(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
     """(k, j): the sets not late yet that are similar to an earlier one, of the given candidates. Each pair is taken from the
-    later set's side; only its two lines are read again from the texts."""
+    later set's side; only its two lines are read again from the texts. Words are compared by 64-bit hashes, first by 256 parities
+    of them, so only what is hardly ever not similar carries its words."""
+    a, b = t.numerator, t.denominator
     asked = pairs.select("k").union(pairs.select("k_")).distinct()
     firsts = scratch.save(sets.select("k", "j", "late", F.struct(*PLACE).alias("first")).join(asked, "k", "left_semi"), "firsts")
     n = firsts.count()
     rename = lambda df, x: df.select(*[F.col(c).alias(c + x) for c in df.columns])
-    one, two = (maybe_broadcast(rename(firsts, x), n, 96) for x in ("", "_"))
-    both = pairs.join(one, "k").join(two, "k_")
-    ahead = F.col("first") > F.col("first_")
-    turned = [F.when(ahead, F.col(c)).otherwise(F.col(f"{c}_")).alias(c) for c in ("k", "j", "late", "first")]
-    back = [F.when(ahead, F.col(f"{c}_")).otherwise(F.col(c)).alias(f"{c}_") for c in ("k", "j", "first")]
-    useful = scratch.save(both.select(*turned, *back).where(~F.col("late")).select("k", "j", "first", "k_", "j_", "first_").distinct(), "useful")
-    # The lines of these pairs.
-    places = scratch.save(useful.select("first").union(useful.select("first_")).distinct().select("first.*"), "places")
-    wanted = maybe_broadcast(places.select(*[F.col(c).alias(f"_{c}") for c in PLACE]), places.count(), 48)
-    held = places.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    few = texts.join(maybe_broadcast(held, places.count(), 40), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
+    # The lines of these sets.
+    wanted = maybe_broadcast(firsts.select("k", "j", *[F.col(f"first.{c}").alias(f"_{c}") for c in PLACE]), n, 64)
+    held = maybe_broadcast(firsts.select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")).distinct(), n, 40)
+    few = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line"))
-    whole = scratch.save(_lines(few).join(wanted, same, "left_semi").select(F.struct(*PLACE).alias("first"), "content").dropDuplicates(["first"]), "whole")
-    other = whole.select(F.col("first").alias("first_"), F.col("content").alias("content_"))
-    met = useful.join(whole, "first").join(other, "first_").select("k", "j", _once(F.array_distinct(words(F.col("content")))).alias("w"), "content_")
-    met = met.select("k", "j", "w", _once(F.array_distinct(words(F.col("content_")))).alias("w_"))
-    enough = F.size(F.array_intersect("w", "w_")) * (t.numerator + t.denominator) >= (F.size("w") + F.size("w_")) * t.numerator
-    late = scratch.save(met.where(enough).select("k", "j").distinct(), "late")
-    for table in (firsts, useful, places, whole):
+    hashed = _lines(few).join(wanted, same).dropDuplicates(["k", "j"]).select("k", "j", _once(F.array_distinct(hashes(words(F.col("content"))))).alias("w"))
+    whole = scratch.save(hashed.select("k", "j", "w", F.size("w").alias("n"), *_parities(F.col("w"), 4)), "whole")
+
+    known = firsts.join(whole.drop("w"), ["k", "j"])
+    one, two = (maybe_broadcast(rename(known, x), n, 128) for x in ("", "_"))
+    both = pairs.join(one, "k").join(two, "k_").where(_fits(t, F.col("n"), F.col("n_"), 4))
+    ahead = F.col("first") > F.col("first_")
+    turned = [F.when(ahead, F.col(c)).otherwise(F.col(f"{c}_")).alias(c) for c in ("k", "j", "late")]
+    back = [F.when(ahead, F.col(f"{c}_")).otherwise(F.col(c)).alias(f"{c}_") for c in ("k", "j")]
+    useful = both.select(*turned, *back, (_differ(4) / (F.col("n") + F.col("n_"))).alias("apart")).where(~F.col("late")).drop("late")
+    useful = scratch.save(useful.distinct(), "useful")
+
+    def met(few: DataFrame) -> DataFrame:
+        mine, its = (rename(whole.select("k", "j", "w"), x) for x in ("", "_"))
+        o = F.size(F.array_intersect("w", "w_"))
+        return few.join(mine, ["k", "j"]).join(its, ["k_", "j_"]).where(o * (a + b) >= (F.size("w") + F.size("w_")) * a).select("k", "j").distinct()
+
+    # One witness settles a set: the likeliest is tried first, then the others of what it hasn't settled.
+    likeliest = useful.groupBy("k", "j").agg(F.min(F.struct("apart", "k_", "j_")).alias("best")).select("k", "j", "best.k_", "best.j_")
+    late = scratch.save(met(likeliest), "late")
+    rest = scratch.save(useful.join(late, ["k", "j"], "left_anti").join(likeliest, ["k", "j", "k_", "j_"], "left_anti").drop("apart"), "rest")
+    out = scratch.save(late.union(met(rest)), "late") if not rest.isEmpty() else late
+    for table in (firsts, useful, whole, rest):
         scratch.drop(table)
-    return late
+    return out
 
 
 def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8, least_words: int = 5) -> DataFrame:
@@ -174,17 +216,21 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     # Of a line only the short hashes of its prefix, a parity signature and a key of the set are kept.
     prefix = F.transform(F.slice("codes", 1, F.col("n") - _ceil_share(F.col("n"), t) + 1), lambda c: F.hash(c))
     key = [F.xxhash64("codes").alias("k"), F.xxhash64(F.lit(1), "codes").alias("j")]
-    lines = scratch.save(coded.select(*PLACE, *key, "n", _parity(F.col("codes")).alias("sig"), prefix.alias("prefix")), "lines")
+    coded = scratch.save(coded.select(*PLACE, *key, "n", *_parities(F.col("codes"), 2), prefix.alias("prefix")), "coded")
 
     # Every set once, with its first place.
-    merged = lines.groupBy("k", "j").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("n", "sig", "prefix")])
-    sets = scratch.save(merged.select("k", "j", "n", "sig", "prefix", "first.*", "times"), "sets")
+    merged = coded.groupBy("k", "j").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "prefix")])
+    sets = scratch.save(merged.select("k", "j", "n", "s0", "s1", "prefix", "first.*", "times"), "sets")
+    lines = scratch.save(coded.select(*PLACE, "k", "j"), "lines")
+    scratch.drop(coded)
 
     near = scratch.save(_neighbours(sets, scratch, t), "near")
     early = _late(near, sets.withColumn("late", F.lit(False)), texts, scratch, t)
-    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), early.count(), 32)
+    settled = early.count()
+    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), settled, 32)
     marked = sets.join(mark, ["k", "j"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    pairs = scratch.save(_partners(marked, t), "pairs")
+    turns = [scratch.save(_partners(marked, t, settled, turn), "pairs") for turn in range(TURNS)]
+    pairs = scratch.save(reduce(DataFrame.union, turns).distinct(), "pairs")
     late = early.union(_late(pairs, marked, texts, scratch, t))
 
     # A line goes if its set is late or has an earlier place.
@@ -194,7 +240,7 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     scratch.drop(sets)
     gone = lines.select(*PLACE, "k", "j").join(maybe_broadcast(limits, limits.count(), 72), ["k", "j"]).where(F.col("late") | (F.struct(*PLACE) > F.col("first")))
     out = scratch.save(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines")), "gone")
-    for table in (lines, near, pairs, limits):
+    for table in (lines, near, *turns, pairs, limits):
         scratch.drop(table)
     return out
 
