@@ -34,10 +34,8 @@ GROUP = 4096
 SKETCH = 1 << 16
 #: Earlier sets that are tried as witnesses, for each key.
 BACK = 6
-#: Words of a short prefix, about, by which a broadcast is estimated.
-PREFIX = 16
 #: Steps in which the prefix join is made.
-TURNS = 2
+TURNS = 4
 #: In packed postings larger sets have this size, which the filters let pass.
 WIDE = (1 << 16) - 1
 
@@ -138,8 +136,8 @@ def _neighbours(sets: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
 
 
 def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFrame:
-    """(k, k_): candidates of the prefix join in which at least one set isn't late yet; settled sets are late. Of the words
-    every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings."""
+    """(k, k_): candidates of the prefix join in which at least one set isn't late yet. Of the words
+    every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings. settled is the number of postings of late sets."""
     a, b = t.numerator, t.denominator
     code = F.col("code").cast("long")
     packed = F.shiftleft(code, 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.least("pos", F.lit(WIDE)).cast("long"))
@@ -157,7 +155,7 @@ def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFram
     long_ = lambda df: df.select(*[F.col(c).alias(f"{c}_") for c in held])
     low = posts.where(short)
     found = low.where(~F.col("late")).select(*held).join(long_(posts), same)
-    back = maybe_broadcast(low.where(F.col("late")).select(*held), settled * PREFIX, 48).join(long_(posts.where(~F.col("late"))), same)
+    back = maybe_broadcast(low.where(F.col("late")).select(*held), settled // TURNS, 40).join(long_(posts.where(~F.col("late"))), same)
     return found.select("k", "k_").union(back.select("k", "k_")).distinct()
 
 
@@ -226,9 +224,9 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
 
     near = scratch.save(_neighbours(sets, scratch, t), "near")
     early = _late(near, sets.withColumn("late", F.lit(False)), texts, scratch, t)
-    settled = early.count()
-    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), settled, 32)
+    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), early.count(), 32)
     marked = sets.join(mark, ["k", "j"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    settled = int(marked.where("late").agg(F.sum(F.size("prefix"))).first()[0] or 0)
     turns = [scratch.save(_partners(marked, t, settled, turn), "pairs") for turn in range(TURNS)]
     pairs = scratch.save(reduce(DataFrame.union, turns).distinct(), "pairs")
     late = early.union(_late(pairs, marked, texts, scratch, t))
