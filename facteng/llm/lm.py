@@ -1,23 +1,23 @@
-"""Katz backoff language model over whole corpora.
-
-Tokens are words and one end per text. All training words have bigrams of their own, keyed by 64-bit hashes; see full_scores.
-With a vocabulary given, the most frequent words are classes of their own and all others share a class, within which a word has a Good-Turing discounted unigram probability of its own, so every word the corpus
-ever had counts. Bigrams of classes are counted exactly, discounted by Good-Turing and backed off to the
-class unigrams with weights that make every context sum to one. A token is evaluated recursively: bigram, else
-backoff weight times class; if the class is the shared one, times the word's probability within it.
-
-The corpus is read in batches. A batch sends to each partition of the n-gram tables the distinct keys it uses
-with the places they occur in; partitions answer with sums per document. So nothing larger than one partition of
-a table, whose number grows with the corpus, is ever held by a task, and hot keys travel once per batch.
+"""Katz backoff language model over whole corpora, of trigrams, bigrams and unigrams.
+
+Tokens are words, told apart by a 64-bit hash, and one end per text; the end is also the context a text begins in. Counts of every
+order are discounted by Good-Turing. A token is evaluated recursively: if its context has been seen with it, by
+the discounted count; else by the context's backoff weight times the next lower order, where the weights make every context sum to
+one exactly. Below unigrams, the discount is shared by words that training never had, of which as many are assumed as it had.
+
+The corpus is encoded once into blocks of texts. For each order, every block asks the partitions of that order's table about its
+distinct n-grams, with how often training has them in the block; a partition adds these up over all blocks (so asking is
+also counting) and answers each block in the order it asked, with what the block cannot know about its contexts. The answers
+are written as tables, and the next order builds on them. So texts never travel word by word, nothing larger
+than one partition of a table is held by a task, and their number grows with the corpus. A frequent context is dealt out over
+several partitions by the hash of the next word; a frequent n-gram is one entry for each block.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,14 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
-#: No bound: every training word has bigrams of its own. A smaller vocabulary asks for the class model.
-VOCABULARY = 1 << 62
-#: Most words with a class of their own in the class model; class 0 is the end (and the context a text begins in), the last is shared.
-CLASSES = (1 << 16) - 2
+#: Longest n-grams.
+ORDER = 3
 #: Discounts apply to counts up to this one.
 CUTOFF = 5
-#: Tokens for each partition of the tables, about.
-PER_PART = 4 << 20
+#: Training tokens for each partition of a table, about.
+PER_PART = 1 << 20
+#: Tokens of a block, about; a longer text is a block of its own.
+PER_BLOCK = 2 << 20
+#: Successors of a context that one partition counts, about.
+SPLIT = 1 << 20
+#: Steps in which the longest n-grams are asked for, so that what is shuffled at once is a part of them.
+TURNS = 2
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -82,478 +86,403 @@ def discounts(n: list[float]) -> np.ndarray:
     return d
 
 
-class Lexicon(NamedTuple):
-    ids: dict[bytes, int]
-    counts: np.ndarray  # training tokens of each class
-    unigram: np.ndarray  # probability of each class
-    total: int  # N, training tokens
-    distinct: int  # V, distinct training tokens
-    rare_words: int
-    rare_total: int
-    rare_discounts: np.ndarray
-    rare_unseen: float  # probability, within the shared class, of each word training never had: as many such are assumed as it had
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(c <= CUTOFF, d[np.minimum(c, CUTOFF)] * c, c.astype(np.float64))
+
+
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which partition of a table a key is in."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    x = (a ^ a >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + b
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(29)
+
+
+class Hashes(dict):
+    """Hashes of words, each made once; 0 is the end's."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh64_intdigest(word, 42) or 1
+        return out
+
+
+class Block(NamedTuple):
+    ids: np.ndarray  # of each text its doc_id and whether that is null
+    sizes: np.ndarray  # tokens of each text
+    words: np.ndarray  # distinct hashes, ascending; the first is the end's
+    tokens: np.ndarray  # places in words
 
     @property
-    def rare(self) -> int:
-        return len(self.counts) - 1
+    def training(self) -> np.ndarray:
+        """For every token whether its text is in training."""
+        return np.repeat(np.array([not held_out(None if null else int(i)) for i, null in self.ids], bool), self.sizes)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) partial counts over the training texts of docs(doc_id, text)."""
+def encode(plain: DataFrame, per_block: int) -> DataFrame:
+    """(block, n, docs, sizes, words, tokens): the texts of plain(doc_id, text) in blocks."""
+    names = ["block", "n", "docs", "sizes", "words", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+        known, made, task = Hashes(), 0, TaskContext.get().partitionId()
+        ids: list[tuple[int, int]] = []
+        hashed: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            words, at = np.unique(np.concatenate(hashed), return_inverse=True)
+            values = (pack(np.array(ids, np.int64).reshape(-1)), pack(np.array([len(x) for x in hashed], np.uint64)), pack_sorted(words), pack(at.astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([len(at)], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names)
 
-        counts: Counter[bytes] = Counter()
+        held = 0
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not held_out(d):
-                    counts.update(tokens(t))
-                    if len(counts) > 1 << 20:
-                        yield out(counts)
-                        counts.clear()
-        yield out(counts)
-
-    return docs.mapInArrow(run, "word binary, n long")
-
-
-def build_lexicon(words: DataFrame, texts: int, vocabulary: int = CLASSES) -> Lexicon:
-    """words: (word, c) of all training words; texts: training texts. The vocabulary is all words of at least some count, the
-    least one with which it has vocabulary words at most; only those and a histogram of counts come to the driver."""
-    exact = 1 << 16  # larger counts share a class of the histogram with others within a sixteenth
-    level = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log2(F.col("c") / exact) * 16)).cast("long")
-    fits, least = 0, None
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
-        if fits + r["count"] > vocabulary:
-            break
-        fits, least = fits + r["count"], r.level
-    top = words.where(level >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    ids = {bytes(w): i for i, w in enumerate(top["word"], 1)}
-    own = top["c"].to_numpy(np.int64)
-    few = [F.sum((F.col("c") == r).cast("long")) for r in range(1, CUTOFF + 2)]
-    row = words.agg(F.count(F.lit(1)), F.sum("c"), *few).first()
-    n_words, n_tokens = int(row[0]), int(row[1] or 0)
-    total, distinct = n_tokens + texts, n_words + (texts > 0)
-    rare_words, rare_total = n_words - len(own), n_tokens - int(own.sum())
-    counts = np.concatenate(([texts], own, [rare_total])).astype(np.float64)
-    of = lambda c: [0] + [int((c == r).sum()) for r in range(1, CUTOFF + 2)]
-    rare_n = [0] + [int(x or 0) - y for x, y in zip(row[2:], of(own)[1:], strict=True)]
-    rare_d = discounts(rare_n)
-    if total == 0:
-        unigram = np.full(2, 0.5)
-    elif rare_total:
-        unigram = counts / total  # no class is unseen
-    else:  # unseen words get what the discount of the classes leaves
-        whole = counts.astype(np.int64)
-        d = discounts(of(whole[:-1]))
-        unigram = counts * d[np.minimum(whole, CUTOFF)] ** (whole <= CUTOFF) / total
-        if unigram.sum() >= 1:
-            unigram *= total / (total + 1.0)
-        unigram[-1] = 1 - unigram.sum()
-    kept = 1.0 - (sum(rare_d[r] * r * rare_n[r] for r in range(1, CUTOFF + 1)) + rare_total - sum(r * rare_n[r] for r in range(1, CUTOFF + 1))) / rare_total if rare_total else 1.0
-    if kept <= 0:  # nothing is discounted: half a token is set aside
-        rare_d, kept = rare_d * rare_total / (rare_total + 0.5), 0.5 / (rare_total + 0.5)
-    return Lexicon(ids, counts, unigram, total, distinct, rare_words, rare_total, rare_d, kept / (distinct + 1))
+            for at in range(b.num_rows):
+                i = b.column(0)[at].as_py()
+                own = [known[w] for w in tokens(b.column(1)[at].as_py())]
+                own.append(0)
+                ids.append((i or 0, i is None))
+                hashed.append(np.array(own, np.uint64))
+                held += len(own)
+                if held >= per_block:
+                    yield out()
+                    made, held, ids, hashed = made + 1, 0, [], []
+                if len(known) > 1 << 19:
+                    known.clear()
+        if ids:
+            yield out()
 
+    return plain.mapInArrow(run, "block string, n long, docs binary, sizes binary, words binary, tokens binary")
 
-def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Which partition of the tables a key is in."""
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
+def read_block(docs: bytes, sizes: bytes, words: bytes, tokens: bytes) -> Block:
+    return Block(unpack(docs, np.int64).reshape(-1, 2), unpack(sizes, np.uint64).astype(np.int64), unpack_sorted(words, np.uint64), unpack(tokens, np.uint32).astype(np.int64))
 
-class Batch(NamedTuple):
-    """Tokens of a batch of texts: classes, contexts and texts of all tokens; keys and texts of words of the shared class."""
 
-    current: np.ndarray
-    context: np.ndarray
-    text: np.ndarray
-    rare_key: np.ndarray
-    rare_text: np.ndarray
-
-
-def read_batch(texts: list[bytes | None], lexicon: Lexicon) -> Batch:
-    get, rare, digest = lexicon.ids.get, lexicon.rare, xxhash.xxh64_intdigest
-    ids, keys, sizes, rares = [], [], [], []
-    for t in texts:
-        words = tokens(t)
-        mine = [get(w, rare) for w in words]
-        unknown = [digest(w, 42) for w, i in zip(words, mine, strict=True) if i == rare]
-        mine.append(0)
-        ids.append(np.array(mine, np.uint16))
-        keys.append(unknown)
-        sizes.append(len(mine))
-        rares.append(len(unknown))
-    if not texts:
-        return Batch(*(np.empty(0, np.uint16),) * 2, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
-    current = np.concatenate(ids)
-    # An end is followed by the next text's first token, whose context is the end: as it should be.
-    context = np.concatenate((np.zeros(1, np.uint16), current[:-1]))
-    n = np.arange(len(texts))
-    return Batch(current, context, np.repeat(n, sizes), np.fromiter(chain.from_iterable(keys), np.uint64, sum(rares)), np.repeat(n, rares))
-
-
-def bigram_keys(b: Batch) -> np.ndarray:
-    return b.context.astype(np.uint64) << np.uint64(16) | b.current
-
-
-def count_bigrams(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """The bigram table: (part, key array<int>, c array<int>), one row for each partition, keys ascending."""
+ANSWER = "level int, block string, part long, total binary, odd binary, other binary, stats array<long>"
+ANSWER_NAMES = [x.split()[0] for x in ANSWER.split(", ")]
+
+
+def _stats(total: np.ndarray) -> list[int]:
+    """How many n-grams are seen 1, .., CUTOFF + 1 times, how many at all, and the sum of their counts."""
+    return [int((total == r).sum()) for r in range(1, CUTOFF + 2)] + [int((total > 0).sum()), int(total.sum())]
+
+
+# --- words
+
+
+def ask_words(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, keys, n): the distinct words of every block by partition, with their training counts in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
         for b in batches:
-            texts = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(d)]
-            keys, n = np.unique(bigram_keys(read_batch(texts, lexicon)), return_counts=True)
-            part = parts_of(keys, parts)
-            rows = [(p, pack_sorted(keys[part == p].astype(np.uint32)), pack(n[part == p].astype(np.uint32))) for p in np.unique(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "keys", "n"])
-
-    def merge(b: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpack_sorted(k, np.uint32) for k in b["keys"]])
-        n = np.concatenate([unpack(k, np.uint32) for k in b["n"]])
-        own, at = np.unique(keys, return_inverse=True)
-        c = np.bincount(at, weights=n).astype(np.int64)
-        return pd.DataFrame({"part": b["part"].iloc[:1], "key": [own.view(np.int32)], "c": [c]})
-
-    sent = docs.mapInArrow(run, "part long, keys binary, n binary")
-    return sent.groupBy("part").applyInPandas(merge, "part long, key array<int>, c array<long>")
-
-
-class Weights(NamedTuple):
-    discount: np.ndarray
-    scale: np.ndarray  # of each context, on what it has seen
-    backoff: np.ndarray  # of each context, on the unigrams of what it hasn't
-
-
-def backoff_weights(table: DataFrame, lexicon: Lexicon, spark: SparkSession) -> Weights:
-    """Exactly normalised: seen and unseen successors of every context sum to one. Sums over the table are made by
-    context; one row for each class comes back."""
-    rows = table.select(F.inline(F.arrays_zip("key", "c")))
-    n = {r.c: r["count"] for r in rows.where(F.col("c") <= CUTOFF + 1).groupBy("c").count().collect()}
-    d = discounts([0] + [n.get(r, 0) for r in range(1, CUTOFF + 2)])
-    classes = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(lexicon.unigram)), "p": lexicon.unigram}))
-    factor = F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.least(F.col("c"), F.lit(CUTOFF)).cast("int"))
-    plain = rows.select(
-        F.shiftrightunsigned("key", 16).cast("long").alias("context"),
-        F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("long").alias("id"),
-        F.when(F.col("c") <= CUTOFF, F.col("c") * factor).otherwise(F.col("c").cast("double")).alias("mass"),
-    )
-    sums = plain.join(F.broadcast(classes), "id").groupBy("context").agg(F.sum("mass").alias("mass"), F.sum("p").alias("seen")).toPandas()
-    scale, backoff = np.ones(len(lexicon.counts)), np.ones(len(lexicon.counts))
-    at = sums["context"].to_numpy(np.int64)
-    mass, seen = sums["mass"].to_numpy() / lexicon.counts[at], sums["seen"].to_numpy()
-    open_ = 1 - seen > 1e-12
-    none = open_ & (mass > 1 - 1e-12)  # nothing was discounted: half a token is set aside
-    kept = np.where(none, 1 - 0.5 / (lexicon.counts[at] + 0.5), mass)
-    scale[at] = np.where(open_, kept / mass, 1 / mass)
-    backoff[at] = np.where(open_, (1 - kept) / np.where(open_, 1 - seen, 1), 0)
-    return Weights(d, scale, backoff)
+            for row in b.to_pylist():
+                block = read_block(row["docs"], row["sizes"], row["words"], row["tokens"])
+                n = np.bincount(block.tokens[block.training], minlength=len(block.words)).astype(np.uint64)
+                part = parts_of(block.words, parts)
+                own = [(p, part == p) for p in np.unique(part)]
+                columns = [pa.array([p for p, _ in own], pa.int64()), pa.array([row["block"]] * len(own), pa.string()), *[pa.array(x, pa.binary()) for x in ([pack_sorted(block.words[m]) for _, m in own], [pack(n[m]) for _, m in own])]]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "keys", "n"])
 
+    return blocks.mapInArrow(run, "part long, block string, keys binary, n binary")
 
-def look_up(keys: np.ndarray, table_keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Counts of keys in a table with ascending keys; 0 where it has none."""
-    if not len(table_keys):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table_keys, keys), len(table_keys) - 1)
-    return np.where(table_keys[at] == keys, counts[at], 0)
 
+def count_words(b: pd.DataFrame) -> pd.DataFrame:
+    """The answers of one partition of the words' table."""
+    keys = [unpack_sorted(k, np.uint64) for k in b["keys"]]
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, np.concatenate([unpack(n, np.uint64) for n in b["n"]]).astype(np.int64))
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    rows = [(1, name, int(b["part"].iloc[0]), pack(total[x].astype(np.uint64)), None, None, None) for name, x in zip(b["block"], np.split(at, cuts), strict=True)]
+    return pd.DataFrame([*rows, (1, None, int(b["part"].iloc[0]), None, None, None, _stats(total))], columns=ANSWER_NAMES)
 
-def bigram_logs(keys: np.ndarray, c: np.ndarray, lexicon: Lexicon, w: Weights) -> np.ndarray:
-    context, current = (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(0xFFFF)).astype(np.int64)
-    d = np.where(c <= CUTOFF, w.discount[np.minimum(c, CUTOFF)], 1.0)
-    seen = w.scale[context] * d * c / np.maximum(lexicon.counts[context], 1)
-    return np.log10(np.where(c > 0, seen, w.backoff[context] * lexicon.unigram[current]))
 
+# --- longer n-grams
 
-def rare_logs(c: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    d = np.where(c <= CUTOFF, lexicon.rare_discounts[np.minimum(c, CUTOFF)], 1.0)
-    return np.log10(np.where(c > 0, d * c / max(lexicon.rare_total, 1), lexicon.rare_unseen))
 
+class Grams(NamedTuple):
+    """The n-grams of one order in a block. Contexts are the n-grams of the next lower order, and so are the suffixes."""
 
-#: Kinds of table partitions; sums of a batch's own come under OWN.
-BIGRAM, RARE, OWN = 0, 1, 2
-SENT = "kind int, part long, batch string, docs binary, keys binary, reps binary, places binary"
-SUMS = "batch string, docs binary, score binary, base binary, known binary, n binary"
+    at: np.ndarray  # of each token its n-gram, -1 where there are too few tokens before it
+    context: np.ndarray  # of each n-gram
+    word: np.ndarray
+    suffix: np.ndarray
+    hash: np.ndarray
+    n: np.ndarray  # training counts in the block
 
 
-def requests(kind: int, count: int, name: str, keys: np.ndarray, text: np.ndarray) -> list[tuple]:
-    """What a batch asks of each partition of a table: distinct keys, how often, and in which texts."""
-    part = parts_of(keys, count)
-    order = np.lexsort((text, keys, part))
-    part, keys, text = part[order], keys[order], text[order]
-    out = []
-    for p in np.unique(part):
-        a, b = np.searchsorted(part, (p, p + 1))
-        own, reps = np.unique(keys[a:b], return_counts=True)
-        out.append((kind, int(p), name, None, pack_sorted(own), pack(reps.astype(np.uint32)), pack(text[a:b].astype(np.uint32))))
-    return out
+def single(block: Block) -> Grams:
+    n = len(block.words)
+    none = np.empty(0, np.int64)
+    return Grams(block.tokens, none, np.arange(n), none, block.words, none)
 
 
-def send(docs: DataFrame, shared, parts: int, rare_parts: int) -> DataFrame:
-    """What every batch asks of the partitions of the tables, and what it can sum up by itself."""
+def longer(block: Block, low: Grams, order: int) -> Grams:
+    """n-grams of the given order from those one shorter."""
+    first = np.cumsum(block.sizes) - block.sizes
+    context = np.concatenate((np.zeros(1, np.int64), low.at[:-1]))
+    if order == 2:
+        context[first] = 0  # a text begins after an end
+    else:
+        context[first] = -1  # before it there are too few tokens
+    ok = context >= 0
+    key, place, at = np.unique(context[ok] << np.int64(32) | block.tokens[ok], return_index=True, return_inverse=True)
+    whole = np.full(len(block.tokens), -1, np.int64)
+    whole[ok] = at
+    n = np.bincount(at[block.training[ok]], minlength=len(key))
+    own, word = key >> np.int64(32), key & np.int64(0xFFFFFFFF)
+    return Grams(whole, own, word, low.at[ok][place], joined(low.hash[own], block.words[word]), n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        base = np.log10((lexicon.counts + 1) / (lexicon.total + lexicon.distinct + 1))
-        base[lexicon.rare] = 0.0
-        known = lexicon.counts > 0
-        known[lexicon.rare] = False
-        for k, b in enumerate(batches):
-            name = f"{TaskContext.get().partitionId()}-{k}"  # the same when the task is run again
-            ids = b.column(0).to_pylist()
-            read = read_batch(b.column(1).to_pylist(), lexicon)
-            n = len(ids)
-            out = requests(BIGRAM, parts, name, bigram_keys(read), read.text) + requests(RARE, rare_parts, name, read.rare_key, read.rare_text)
-            flat = [np.bincount(read.text, weights=x, minlength=n) for x in (base[read.current], known[read.current].astype(float), np.ones(len(read.current)))]
-            docs_ = pack(np.array([[i or 0, i is None] for i in ids], np.int64).reshape(-1))
-            out.append((OWN, zlib.crc32(name.encode()) % parts, name, docs_, *(pack(x) for x in flat)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 4), strict=True)], [x.split()[0] for x in SENT.split(", ")])
-
-    return docs.mapInArrow(run, SENT)
-
-
-def answer(shared_lexicon, shared_weights):
-    """For one partition of a table: sums per document for every batch that asked."""
-
-    def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        lexicon, weights = shared_lexicon.value, shared_weights.value
-        out = {x.split()[0]: [] for x in SUMS.split(", ")}
-        base_of = lambda c: np.log10((c + 1) / (lexicon.total + lexicon.distinct + 1))
-        if len(asked) and len(table):
-            own = np.concatenate([np.asarray(k, np.int64) for k in table["key"]]).view(np.uint64)
-            counts = np.concatenate([np.asarray(k, np.int64) for k in table["c"]])
-            order = np.argsort(own)
-            own, counts = own[order], counts[order]
-        else:
-            own, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for r in asked.itertuples(index=False):
-            if r.kind == OWN:
-                values = (r.docs, None, r.keys, r.reps, r.places)
-            else:
-                keys, reps, places = unpack_sorted(r.keys, np.uint64), unpack(r.reps, np.uint32), unpack(r.places, np.uint32)
-                c = look_up(keys, own, counts)
-                total = lambda x, reps=reps, places=places: pack(np.bincount(places, weights=np.repeat(x, reps)))
-                if r.kind == BIGRAM:
-                    values = (None, total(bigram_logs(keys, c, lexicon, weights)), None, None, None)
-                else:
-                    values = (None, total(rare_logs(c, lexicon)), total(base_of(c)), total((c > 0).astype(float)), None)
-            for k, v in zip(out, (r.batch, *values), strict=True):
-                out[k].append(v)
-        return pd.DataFrame(out)
 
-    return run
+class Dealt(NamedTuple):
+    """Into how many partitions the tables are dealt, and how many successors of a context go together."""
 
+    parts: int
+    split: int
 
-def gather(b: pd.DataFrame) -> pd.DataFrame:
-    """Adds up the answers to one batch."""
-    own = next(x for x in b["docs"] if x is not None)
-    ids = unpack(own, np.int64).reshape(-1, 2)
-    sums = {}
-    for k in ("score", "base", "known", "n"):
-        total = np.zeros(len(ids))
-        for x in b[k]:
-            if x is not None:
-                part = unpack(x, np.float64)
-                total[: len(part)] += part
-        sums[k] = total
-    return pd.DataFrame(
-        {"doc_id": [str(i) if not null else None for i, null in ids], "n_tokens": sums["n"].astype(np.int64), "n_known": sums["known"].astype(np.int64), "base_score": sums["base"], "score": sums["score"]}
-    )
 
+class Layout(NamedTuple):
+    """How a block asks: entries are contexts by partition; n-grams come in the order of their entries."""
 
-class Hashes(dict):
-    """Hashes of words, each made once."""
+    part: np.ndarray  # of each entry
+    context: np.ndarray
+    runs: np.ndarray  # n-grams of each entry
+    grams: np.ndarray
+
+    def pieces(self) -> Iterator[tuple[int, slice, slice]]:
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.runs)))
+        for p in np.unique(self.part):
+            a, b = np.searchsorted(self.part, (p, p + 1))
+            yield int(p), slice(a, b), slice(int(ends[a]), int(ends[b]))
+
+
+def layout(block: Block, g: Grams, low: Grams, count: np.ndarray, dealt: Dealt) -> Layout:
+    """count: training counts of the lower order. What has an unseen context or suffix is unseen and needs no asking."""
+    ways = -(-count // dealt.split)
+
+    def part_of(context: np.ndarray, way: np.ndarray) -> np.ndarray:
+        return parts_of(low.hash[context] + way.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), dealt.parts)
+
+    seen = np.unique(g.context)
+    seen = seen[count[seen] > 0]
+    all_ways = np.arange(int(ways[seen].sum())) - np.repeat(np.cumsum(ways[seen]) - ways[seen], ways[seen])
+    each = np.repeat(seen, ways[seen])
+    size = max(1, len(low.hash))
+    entries = np.unique(part_of(each, all_ways) * size + each)
+    asked = np.flatnonzero((count[g.context] > 0) & (count[g.suffix] > 0))
+    context = g.context[asked]
+    way = (block.words[g.word[asked]] >> np.uint64(7)).astype(np.int64) % np.maximum(ways[context], 1)
+    at = np.searchsorted(entries, part_of(context, way) * size + context)
+    return Layout(entries // size, entries % size, np.bincount(at, minlength=len(entries)), asked[np.argsort(at, kind="stable")])
+
+
+ASKED = "part long, block string, contexts binary, runs binary, words binary, n binary, low binary"
+
+
+def asked_of(name: str, block: Block, g: Grams, low: Grams, count: np.ndarray, dealt: Dealt, turn: int, turns: int) -> list[tuple]:
+    lay, out = layout(block, g, low, count, dealt), []
+    for p, entries, grams in lay.pieces():
+        if p % turns == turn:
+            own = lay.grams[grams]
+            arrays = (low.hash[lay.context[entries]], lay.runs[entries].astype(np.uint32), block.words[g.word[own]], g.n[own].astype(np.uint32), count[g.suffix[own]].astype(np.uint64))
+            out.append((p, name, *(pack(x) for x in arrays)))
+    return out
 
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return out
 
+def _classes(at: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
+    """(size, CUTOFF + 1): for each place how many of the counts there are 1, .., CUTOFF, and the sum of the larger ones."""
+    own = (c > 0) & (c <= CUTOFF)
+    out = np.bincount(at[own] * (CUTOFF + 1) + c[own] - 1, minlength=size * (CUTOFF + 1)).reshape(size, CUTOFF + 1)
+    out[:, CUTOFF] = np.bincount(at[c > CUTOFF], weights=c[c > CUTOFF], minlength=size)  # exact, as sums stay below 2**53
+    return out
 
-def read_hashed(texts: list[bytes | None], known: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (0 for an end), contexts and texts of all tokens."""
-    if len(known) > 1 << 20:
-        known.clear()
-    ids = []
-    for t in texts:
-        mine = [known[w] for w in tokens(t)]
-        mine.append(0)
-        ids.append(np.array(mine, np.uint64))
-    current = np.concatenate([np.zeros(1, np.uint64), *ids])
-    return current[1:], current[:-1], np.repeat(np.arange(len(texts)), [len(x) for x in ids])
 
+def count_grams(level: int):
+    """The answers of one partition of a table: of each n-gram asked for its training count; and of the contexts whose seen
+    successors the block doesn't have all, the counts of the others and of their suffixes, by class."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        contexts = [unpack(x, np.uint64) for x in b["contexts"]]
+        runs = [unpack(x, np.uint32).astype(np.int64) for x in b["runs"]]
+        sizes = np.array([int(r.sum()) for r in runs])
+        own, entry = np.unique(np.concatenate(contexts), return_inverse=True)
+        context = np.repeat(entry, np.concatenate(runs))
+        words = np.concatenate([unpack(x, np.uint64) for x in b["words"]])
+        n = np.concatenate([unpack(x, np.uint32) for x in b["n"]]).astype(np.int64)
+        low = np.concatenate([unpack(x, np.uint64) for x in b["low"]]).astype(np.int64)
+        order = np.lexsort((words, context))
+        sorted_c, sorted_w = context[order], words[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (sorted_c[1:] != sorted_c[:-1]) | (sorted_w[1:] != sorted_w[:-1])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        del sorted_w, words
+        first = order[new]
+        total = np.bincount(at, weights=n, minlength=len(first)).astype(np.int64)
+        low = np.where(total > 0, low[first], 0)
+        whole = np.hstack((_classes(context[first], total, len(own)), _classes(context[first], low, len(own))))
+        rows, e, g = [], 0, 0
+        for name, r, size in zip(b["block"], runs, sizes, strict=True):
+            mine, entries = at[g : g + size], entry[e : e + len(r)]
+            place = np.repeat(np.arange(len(r)), r)
+            rest = whole[entries] - np.hstack((_classes(place, total[mine], len(r)), _classes(place, low[mine], len(r))))
+            odd = np.flatnonzero(rest.any(axis=1))
+            rows.append((level, name, int(b["part"].iloc[0]), pack(total[mine].astype(np.uint32)), pack(odd.astype(np.uint32)), pack(rest[odd].T.ravel().astype(np.uint64)), None))
+            e, g = e + len(r), g + size
+        return pd.DataFrame([*rows, (level, None, int(b["part"].iloc[0]), None, None, None, _stats(total))], columns=ANSWER_NAMES)
 
-def hashed_bigrams(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ a >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + b
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ x >> np.uint64(29)
+    return run
 
 
-def count_hashed(docs: DataFrame) -> DataFrame:
-    """(a, b, c): counts of all training bigrams."""
+class Found(NamedTuple):
+    """What the tables say of a block's n-grams of one order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for batch in batches:
-            b, a, _ = read_hashed([t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(d)], known)
-            _, at, n = np.unique(hashed_bigrams(a, b), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+    count: np.ndarray  # of each n-gram
+    factor: np.ndarray  # of each context: a seen n-gram's probability is this times its discounted count
+    backoff: np.ndarray  # log10 of each context's weight
 
-    return docs.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("c"))
 
+class Model(NamedTuple):
+    total: int
+    distinct: int
+    share: float
+    unseen: float
+    discounts: list[np.ndarray]  # of each order, from 1
 
-def _keyed(rows: DataFrame, kind: int, parts: int) -> DataFrame:
-    """(kind, part, key, c, value) of rows(a, b, c, value)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            key = hashed_bigrams(a, b) if kind == BIGRAM else b
-            own = [pa.array(np.full(len(key), kind, np.int32)), pa.array(parts_of(key, parts)), pa.array(key.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*own, batch.column(2), batch.column(3)], ["kind", "part", "key", "c", "value"])
-
-    return rows.select("a", "b", "c", "value").mapInArrow(run, "kind int, part long, key long, c long, value double")
-
-
-def full_scores(plain: DataFrame, words: DataFrame, texts: int, scratch: Scratch, per_part: int) -> tuple[DataFrame, int]:
-    """Scores by the model in which every training word is a class of its own, and the number of training tokens.
-
-    Every token is first given its backed-off probability, the product of its unigram and its context's weight, which depend
-    on one word each; the bigram table holds what a seen bigram adds to the logarithm of that. So words and bigrams are asked for
-    in one pass, and weights stay in tables partitioned by word."""
-    spark = scratch.spark
-    types = words.select(F.xxhash64("word").alias("w"), "c").groupBy("w").agg(F.sum("c").alias("c"))
-    if texts:
-        types = types.union(spark.range(1).select(F.lit(0).cast("long"), F.lit(texts).cast("long")))
-    types = scratch.save(types, "types")
-
-    def histogram(table: DataFrame) -> list[int]:
-        n = {r.c: r["count"] for r in table.where(F.col("c") <= CUTOFF + 1).groupBy("c").count().collect()}
-        return [0] + [n.get(r, 0) for r in range(1, CUTOFF + 2)]
-
-    distinct, total = (int(x or 0) for x in types.agg(F.count(F.lit(1)), F.sum("c")).first())
-    n = histogram(types)
-    d = discounts(n)
-    share, end, unseen = 1.0, 0.5, 0.5
+def model_of(stats: list[list[int]]) -> Model:
+    d = [discounts([0, *s[: CUTOFF + 1]]) for s in stats]
+    n, distinct, total = stats[0][: CUTOFF + 1], stats[0][-2], stats[0][-1]
+    share, unseen = 1.0, 0.5
     if total:
-        mass = (total - sum((1 - d[r]) * r * n[r] for r in range(1, CUTOFF + 1))) / total
-        share = total / (total + 1.0) if mass >= 1 - 1e-15 else 1.0
+        mass = (total - sum((1 - d[0][r]) * r * n[r - 1] for r in range(1, CUTOFF + 1))) / total
+        share = total / (total + 1.0) if mass >= 1 - 1e-15 else 1.0  # nothing was discounted: one token is set aside
         unseen = 1 - mass * share
-        end = texts * (d[texts] if texts <= CUTOFF else 1.0) / total * share
-    unseen /= distinct + 1  # as many unseen words are assumed as there are others
-    counted = lambda c, by: F.when(c <= CUTOFF, c * F.element_at(F.array(*[F.lit(float(x)) for x in by[1:]]), F.least(c, F.lit(CUTOFF)).cast("int"))).otherwise(c.cast("double"))
-
-    plain_bigrams = scratch.save(count_hashed(plain), "bigrams")
-    by = discounts(histogram(plain_bigrams))
-    p = counted(F.col("c"), d) / max(total, 1) * share
-    successors = types.select(F.col("w").alias("b"), p.alias("p"))
-    bigrams = scratch.save(plain_bigrams.join(successors, "b").select("a", "b", "c", "p", counted(F.col("c"), by).alias("mass")), "masses")
-    scratch.drop(plain_bigrams)
-    sums = bigrams.groupBy(F.col("a").alias("w")).agg(F.sum("mass").alias("mass"), F.sum("p").alias("seen"))
-    contexts = types.join(sums, "w").select("w", "c", p.alias("p"), "seen", (F.col("mass") / F.col("c")).alias("mass"))
-    open_ = 1 - F.col("seen") > 1e-12
-    none = open_ & (F.col("mass") > 1 - 1e-12)  # nothing was discounted: half a token is set aside
-    kept = F.when(none, 1 - 0.5 / (F.col("c") + 0.5)).otherwise(F.col("mass"))
-    scale = F.when(open_, kept / F.col("mass")).otherwise(1 / F.col("mass"))
-    backoff = F.when(open_, (1 - kept) / (1 - F.col("seen"))).otherwise(1e-300)
-    contexts = scratch.save(contexts.select("w", "c", F.log10("p").alias("p"), F.log10(scale / F.col("c")).alias("scale"), F.log10(backoff).alias("backoff")), "contexts")
-    row = contexts.where("w = 0").first()
-    ends = np.array([math.log10(end) + (row.backoff if row else 0.0), math.log10((texts + 1) / (total + distinct + 1)), float(texts > 0), 1.0])
-
-    parts = max(1, -(-total // per_part))
-    own = contexts.select(F.col("w").alias("a"), F.col("scale").alias("s"), F.col("backoff").alias("o"))
-    gains = bigrams.join(own, "a").select("a", "b", "c", (F.col("s") + F.log10("mass") - F.log10("p") - F.col("o")).alias("value"))
-    word_rows = contexts.where("w <> 0").select(F.col("w").alias("a"), F.col("w").alias("b"), "c", (F.col("p") + F.col("backoff")).alias("value"))
-    tables = _keyed(gains, BIGRAM, parts).unionByName(_keyed(word_rows, RARE, parts))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for k, batch in enumerate(batches):
-            name = f"{TaskContext.get().partitionId()}-{k}"
-            ids = batch.column(0).to_pylist()
-            if not ids:
-                continue
-            b, a, text = read_hashed(batch.column(1).to_pylist(), known)
-            out = requests(BIGRAM, parts, name, hashed_bigrams(a, b), text) + requests(RARE, parts, name, b[b != 0], text[b != 0])
-            flat = np.repeat(ends[:, None], len(ids), axis=1)
-            docs_ = pack(np.array([[i or 0, i is None] for i in ids], np.int64).reshape(-1))
-            out.append((OWN, zlib.crc32(name.encode()) % parts, name, docs_, *(pack(x) for x in flat[:3])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 4), strict=True)], [x.split()[0] for x in SENT.split(", ")])
-
-    def reply(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        key = table["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        key, c, value = key[order], table["c"].to_numpy(np.int64)[order], table["value"].to_numpy(np.float64)[order]
-        out = {x.split()[0]: [] for x in SUMS.split(", ")}
-        for r in asked.itertuples(index=False):
-            if r.kind == OWN:
-                values = (r.docs, r.keys, r.reps, r.places, None)
-            else:
-                keys, reps, places = unpack_sorted(r.keys, np.uint64), unpack(r.reps, np.uint32), unpack(r.places, np.uint32)
-                total_of = lambda x, reps=reps, places=places: pack(np.bincount(places, weights=np.repeat(x, reps)))
-                n, v = look_up(keys, key, c), look_up(keys, key, value)
-                if r.kind == BIGRAM:
-                    values = (None, total_of(v), None, None, None)
-                else:
-                    v = np.where(n > 0, v, math.log10(unseen))
-                    ones = total_of(np.ones(len(keys)))
-                    values = (None, total_of(v), total_of(np.log10((n + 1) / (total + distinct + 1))), total_of((n > 0).astype(float)), ones)
-            for k, x in zip(out, (r.batch, *values), strict=True):
-                out[k].append(x)
-        return pd.DataFrame(out)
-
-    sums = plain.mapInArrow(ask, SENT).groupBy("kind", "part").cogroup(tables.groupBy("kind", "part")).applyInPandas(reply, SUMS)
-    schema = "doc_id string, n_tokens long, n_known long, base_score double, score double"
-    found = sums.groupBy("batch").applyInPandas(gather, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return found.withColumn("n_tokens", F.col("n_tokens") + 1), total  # the end
-
-
-def katz_scores(docs: DataFrame, spark: SparkSession, vocabulary: int = VOCABULARY, per_part: int = PER_PART) -> DataFrame:
+    return Model(total, distinct, share, unseen / (distinct + 1), d)
+
+
+def words_found(block: Block, answers: pd.DataFrame, parts: int) -> np.ndarray:
+    """Training counts of the block's words."""
+    out, part = np.zeros(len(block.words), np.int64), parts_of(block.words, parts)
+    for r in answers[answers["level"] == 1].itertuples(index=False):
+        out[part == r.part] = unpack(r.total, np.uint64).astype(np.int64)
+    return out
+
+
+def grams_found(block: Block, answers: pd.DataFrame, level: int, g: Grams, low: Grams, count: np.ndarray, lower: np.ndarray, model: Model, dealt: Dealt) -> Found:
+    """lower: of each context the factor of its own suffix as a context of the lower order."""
+    lay = layout(block, g, low, count, dealt)
+    by = {r.part: r for r in answers[answers["level"] == level].itertuples(index=False)}
+    d, d_low = model.discounts[level - 1], model.discounts[level - 2]
+    weights = lambda d: np.append(d[1:] * np.arange(1, CUTOFF + 1), 1.0)
+    total, mass, under = np.zeros(len(g.context), np.int64), np.zeros(len(count)), np.zeros(len(count))
+    for p, entries, grams in lay.pieces():
+        total[lay.grams[grams]] = unpack(by[p].total, np.uint32)
+        odd = unpack(by[p].odd, np.uint32)
+        if len(odd):
+            rest = unpack(by[p].other, np.uint64).astype(np.float64).reshape(-1, len(odd))
+            np.add.at(mass, lay.context[entries][odd], weights(d) @ rest[: CUTOFF + 1])
+            np.add.at(under, lay.context[entries][odd], weights(d_low) @ rest[CUTOFF + 1 :])
+    seen = total > 0
+    sums = lambda c, d: np.bincount(g.context[seen], weights=discounted(c[seen], d), minlength=len(count))
+    mass += sums(total, d)
+    under = (under + sums(count[g.suffix], d_low)) * lower
+    some = mass > 0
+    mass = np.where(some, mass / np.maximum(count, 1), 0.5)
+    open_ = 1 - under > 1e-12
+    none = open_ & (mass > 1 - 1e-12)  # nothing was discounted: half a token is set aside
+    kept = np.where(none, 1 - 0.5 / (count + 0.5), mass)
+    scale = np.where(open_, kept / mass, 1 / mass)
+    backoff = np.where(open_, (1 - kept) / np.where(open_, 1 - under, 1), 1e-300)
+    return Found(total, scale / np.maximum(count, 1), np.where(some, np.log10(backoff), 0.0))
+
+
+def walk(block: Block, answers: pd.DataFrame, model: Model, dealt: Dealt, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+    """Climbs to the given order: its n-grams, their counts, the factors of their suffixes' contexts, and the log10 probability
+    of every token."""
+    low, count = single(block), words_found(block, answers, dealt.parts)
+    p = np.where(count > 0, discounted(count, model.discounts[0]) / max(model.total, 1) * model.share, model.unseen)
+    logs = np.log10(p)[block.tokens]
+    lower = np.full(len(count), model.share / max(model.total, 1))
+    for level in range(2, order + 1):
+        g = longer(block, low, level)
+        found = grams_found(block, answers, level, g, low, count, lower, model, dealt)
+        ok = g.at >= 0
+        at = g.at[ok]
+        context, c = g.context[at], found.count[at]
+        seen = np.log10(found.factor[context] * np.maximum(discounted(c, model.discounts[level - 1]), 1e-300))
+        logs[ok] = np.where(c > 0, seen, found.backoff[context] + logs[ok])
+        lower = found.factor[g.suffix]  # a longer context's suffix is, less its last word, a context of this order
+        low, count = g, found.count
+    return low, count, lower, logs
+
+
+def katz_scores(docs: DataFrame, spark: SparkSession, order: int = ORDER, per_part: int = PER_PART, per_block: int = PER_BLOCK, split: int = SPLIT, turns: int = TURNS) -> DataFrame:
     """Trains on the texts whose doc_id isn't held out and scores all of docs(doc_id, text): one row per row with
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Null texts count as empty: their only token is the end. A null doc_id is in training and stays null. Repeated
-    rows count as often as they occur. Only doc_id and text are read. No rows: no rows. Words are told apart by a 64-bit
-    hash, with a vocabulary (CLASSES at most) those outside it."""
-    if CLASSES < vocabulary < VOCABULARY:
-        raise ValueError("the class model has 16-bit classes")
+    rows count as often as they occur. Only doc_id and text are read. No rows: no rows. Without training texts every token has
+    the same probability."""
     scratch = Scratch(spark, "katz")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
-    texts = plain.where(~held).count()
-    words = scratch.save(word_counts(plain).groupBy("word").agg(F.sum("n").alias("c")), "words")
-    if vocabulary == VOCABULARY:
-        found, total = full_scores(plain, words, texts, scratch, per_part)
-        return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-    lexicon = build_lexicon(words, texts, vocabulary)
-    shared = spark.sparkContext.broadcast(lexicon)
-    parts = max(1, -(-lexicon.total // per_part))
-    rare_parts = max(1, -(-lexicon.rare_total // per_part))
-    bigrams = scratch.save(count_bigrams(plain, shared, parts), "bigrams", ["part"])
-    weights = spark.sparkContext.broadcast(backoff_weights(bigrams, lexicon, spark))
-
-    frequent = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": list(lexicon.ids)}), "word binary")) if lexicon.ids else None
-    rare = words.join(frequent, "word", "left_anti") if frequent is not None else words
-    rare = rare.select(F.xxhash64("word").alias("key"), "c").groupBy("key").agg(F.sum("c").alias("c"))
-    placed = rare.mapInArrow(_place(rare_parts), "part long, key long, c long")
-    rare_table = placed.groupBy("part").agg(F.collect_list(F.struct("key", "c")).alias("rows"))
-    tables = bigrams.select(F.lit(BIGRAM).alias("kind"), F.col("part").cast("long"), F.transform("key", lambda k: k.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "c").unionByName(
-        rare_table.select(F.lit(RARE).alias("kind"), "part", F.col("rows.key").alias("key"), F.col("rows.c").alias("c"))
-    )
-    asked = send(plain, shared, parts, rare_parts)
-    sums = asked.groupBy("kind", "part").cogroup(tables.groupBy("kind", "part")).applyInPandas(answer(shared, weights), SUMS)
-    schema = "doc_id string, n_tokens long, n_known long, base_score double, score double"
-    found = sums.groupBy("batch").applyInPandas(gather, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _place(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(parts_of(keys, parts)), b.column(0), b.column(1)], ["part", "key", "c"])
-
-    return run
+    blocks = scratch.save(encode(plain, per_block), "blocks")
+    parts = max(1, -(-int(blocks.agg(F.sum("n")).first()[0] or 0) // per_part))
+    dealt = Dealt(parts, split)
+    answers = scratch.save(ask_words(blocks, parts).groupBy("part").applyInPandas(count_words, ANSWER), "words")
+    columns = ("docs", "sizes", "words", "tokens")
+
+    def stats(table: DataFrame) -> list[int]:
+        row = table.where(F.col("block").isNull()).agg(*[F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(CUTOFF + 3)]).first()
+        return [int(x or 0) for x in row]
+
+    known = [stats(answers)]
+    replies = answers.where(F.col("block").isNotNull())
+    for level in range(2, order + 1):
+        model = model_of(known)
+        many = turns if level == order else 1
+
+        def ask(turn: int, level=level, model=model, many=many):
+            def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                out = []
+                for r in left.itertuples(index=False):
+                    block = read_block(*(getattr(r, c) for c in columns))
+                    low, count, _, _ = walk(block, right, model, dealt, level - 1)
+                    out += asked_of(r.block, block, longer(block, low, level), low, count, dealt, turn, many)
+                return pd.DataFrame(out, columns=[x.split()[0] for x in ASKED.split(", ")])
+
+            return run
+
+        got = []
+        for turn in range(many):
+            asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(ask(turn), ASKED)
+            got.append(scratch.save(asked.groupBy("part").applyInPandas(count_grams(level), ANSWER), f"grams{level}"))
+        table = reduce(DataFrame.unionByName, got)
+        known.append(stats(table))
+        replies = replies.unionByName(table.where(F.col("block").isNotNull()))
+
+    model = model_of(known)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in left.itertuples(index=False):
+            block = read_block(*(getattr(r, c) for c in columns))
+            logs = walk(block, right, model, dealt, order)[3]
+            count = words_found(block, right, parts)
+            text = np.repeat(np.arange(len(block.sizes)), block.sizes)
+            total = lambda x, text=text, n=len(block.sizes): np.bincount(text, weights=x, minlength=n)
+            base = np.log10((count + 1) / (model.total + model.distinct + 1))
+            out.append(pd.DataFrame({
+                "doc_id": [None if null else str(i) for i, null in block.ids.tolist()], "n_tokens": block.sizes, "n_known": total((count > 0)[block.tokens].astype(float)).astype(np.int64),
+                "base_score": total(base[block.tokens]), "score": total(logs),
+            }))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
+
+    found = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, "doc_id string, n_tokens long, n_known long, base_score double, score double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

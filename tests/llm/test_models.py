@@ -94,67 +94,73 @@ def corpus(spark):
     return rows + [(200, None), (201, ""), (202, "W1\tunseenword"), (None, "w1 w2")]
 
 
-@pytest.mark.parametrize("vocabulary", [lm.VOCABULARY, 12])
-def test_katz_by_brute_force(spark, vocabulary):
+class Katz:
+    """The model again, from plain counts."""
+
+    def __init__(self, texts, order):
+        self.order, self.texts = order, texts
+        self.c = [None, Counter(w for t in texts for w in t)]
+        for k in range(2, order + 1):
+            seqs = [[None] + t for t in texts]
+            self.c.append(Counter(tuple(s[i : i + k]) for s in seqs for i in range(len(s) - k + 1)))
+        tally = lambda c: [0] + [sum(v == r for v in c.values()) for r in range(1, 7)]
+        self.d = [None] + [lm.discounts(tally(c)) for c in self.c[1:]]
+        self.N, self.V = sum(self.c[1].values()), len(self.c[1])
+        mass = sum(self.cut(1, v) for v in self.c[1].values()) / self.N
+        self.share = self.N / (self.N + 1) if mass >= 1 - 1e-15 else 1.0
+        self.unseen = (1 - mass * self.share) / (self.V + 1)
+        self.after, self.memo = {}, {}
+        for k in range(2, order + 1):
+            for gram, v in self.c[k].items():
+                self.after.setdefault(gram[:-1], []).append((gram[-1], v))
+
+    def cut(self, k, v):
+        return v * self.d[k][v] if v <= lm.CUTOFF else v
+
+    def p(self, context, w):
+        if not context:
+            v = self.c[1].get(w, 0)
+            return self.cut(1, v) / self.N * self.share if v else self.unseen
+        own, backoff = self.weights(context)
+        return own[w] if w in own else backoff * self.p(context[1:], w)
+
+    def weights(self, context):
+        if context not in self.memo:
+            k, seen = len(context) + 1, self.after.get(context, [])
+            count = sum(v for _, v in seen)
+            own = {w: self.cut(k, v) / count for w, v in seen}
+            mass, under = math.fsum(own.values()), math.fsum(self.p(context[1:], w) for w in own)
+            if not seen:
+                self.memo[context] = {}, 1.0
+            elif 1 - under <= 1e-12:
+                self.memo[context] = {w: x / mass for w, x in own.items()}, 1e-300
+            else:
+                kept = mass if mass <= 1 - 1e-12 else 1 - 0.5 / (count + 0.5)
+                self.memo[context] = {w: x * kept / mass for w, x in own.items()}, (1 - kept) / (1 - under)
+        return self.memo[context]
+
+    def score(self, t):
+        s = [None] + t
+        return sum(math.log10(self.p(tuple(s[max(0, i - self.order + 1) : i]), s[i])) for i in range(1, len(s)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_by_brute_force(spark, order):
     rows = corpus(spark)
-    got = {r.doc_id: r for r in lm.katz_scores(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_known long"), spark, vocabulary, per_part=64).collect()}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_known long").repartition(3)
+    got = {r.doc_id: r for r in lm.katz_scores(df, spark, order, per_part=64, per_block=300, split=16, turns=2).collect()}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    toks = {i: (t or "").encode().lower().split() for i, t in rows}
-    c = Counter(w for i, ws in toks.items() if not held(i) for w in ws)
-    texts = sum(not held(i) for i, _ in rows)
-    least = min((n for n in set(c.values()) if sum(x >= n for x in c.values()) <= vocabulary), default=10**9)
-    top = [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n >= least]
-    ids = {w: k for k, w in enumerate(top, 1)}
-    rare = len(top) + 1
-    seq = {i: [0] + [ids.get(w, rare) for w in ws] + [0] for i, ws in toks.items()}
-    big = Counter((a, b) for i, s in seq.items() if not held(i) for a, b in zip(s, s[1:], strict=False))
-    N, V = sum(c.values()) + texts, len(c) + 1
-    cls = Counter({0: texts} | {ids[w]: c[w] for w in top})
-    rest = {w: n for w, n in c.items() if w not in ids}
-    cls[rare] = sum(rest.values())
-    count = lambda xs: [0] + [sum(x == r for x in xs) for r in range(1, 7)]
-    if rest:
-        uni = {k: cls[k] / N for k in range(rare + 1)}
-    else:
-        d = lm.discounts(count([cls[k] for k in range(rare)]))
-        uni = {k: cls[k] * (d[cls[k]] if cls[k] <= 5 else 1) / N for k in range(rare)}
-        over = sum(uni.values()) >= 1
-        uni = {k: v * (N / (N + 1) if over else 1) for k, v in uni.items()}
-        uni[rare] = 1 - sum(uni.values())
-    d = lm.discounts(count(big.values()))
-    dr = lm.discounts(count(rest.values()))
-
-    def parts(h):
-        seen = {w: n for (a, w), n in big.items() if a == h}
-        if not seen:
-            return {}, 1.0
-        p = {w: n * (d[n] if n <= 5 else 1) / cls[h] for w, n in seen.items()}
-        kept, low = sum(p.values()), 1 - sum(uni[w] for w in seen)
-        if low <= 1e-12:
-            return {w: x / kept for w, x in p.items()}, 0.0
-        if kept > 1 - 1e-12:
-            p = {w: x * (1 - 0.5 / (cls[h] + 0.5)) / kept for w, x in p.items()}
-        return p, (1 - sum(p.values())) / low
-
-    cache = {h: parts(h) for h in range(rare + 1)}
-    for p, alpha in cache.values():  # every context sums to one
-        assert abs(sum(p.values()) + alpha * sum(uni[w] for w in range(rare + 1) if w not in p) - 1) < 1e-9
-    total = sum(rest.values())
-    left = 1 - sum(n * (dr[n] if n <= 5 else 1) for n in rest.values()) / total if total else 1.0
-    if left <= 0:
-        dr, left = dr * total / (total + 0.5), 0.5 / (total + 0.5)
+    toks = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
+    model = Katz([t for i, t in toks.items() if not held(i)], order)
+    if order <= 3:
+        for context in list(model.after)[:200]:  # every context sums to one
+            assert sum(model.p(context, w) for w in model.c[1]) + (model.V + 1) * model.p(context, "unseen") == pytest.approx(1, abs=1e-9)
+    c = model.c[1]
     for i, ws in toks.items():
-        want = 0.0
-        for k, (a, b) in enumerate(zip(seq[i], seq[i][1:], strict=False)):
-            p, alpha = cache[a]
-            want += math.log10(p[b] if b in p else alpha * uni[b])
-            if b == rare:
-                n = rest.get(ws[k], 0)
-                want += math.log10(n * (dr[n] if n <= 5 else 1) / total if n else left / (V + 1))
         r = got[i]
-        assert r.score == pytest.approx(want, rel=1e-9)
-        assert r.base_score == pytest.approx(sum(math.log10(((c[w]) + 1) / (N + V + 1)) for w in ws) + math.log10((texts + 1) / (N + V + 1)), rel=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws) + 1, sum(w in c for w in ws) + 1, N, held(i))
+        assert r.score == pytest.approx(model.score(ws), rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10((c.get(w, 0) + 1) / (model.N + model.V + 1)) for w in ws), rel=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(w in c for w in ws), model.N, held(i))
     assert len(got) == len(rows)
 
 
