@@ -36,29 +36,48 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub("", text)
 
 
+def _number(value, least: float, most: float = 1 << 40) -> float:
+    """A number within bounds; least for what is none."""
+    try:
+        out = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return least
+    return min(max(out, least), most) if out == out else least
+
+
+def _plain(value) -> str:
+    """What stands for text in a part as text that UTF-8 can hold: none is empty, other values are their JSON."""
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 @dataclass
 class Budget:
-    """How many tokens an attachment expands to."""
+    """How many tokens an attachment expands to; sizes that are missing or no numbers count as the least."""
 
     patch: int = 28
     audio_per_second: float = 25.0
     per_page: int = 256
 
     def image(self, part: dict) -> int:
-        across, down = (math.ceil(max(1, int(part.get(k) or 1)) / self.patch) for k in ("width", "height"))
+        across, down = (math.ceil(_number(part.get(k), 1, 1 << 20) / self.patch) for k in ("width", "height"))
         return across * down
 
     def audio(self, part: dict) -> int:
-        return max(1, math.ceil(float(part.get("seconds") or 0) * self.audio_per_second))
+        return max(1, math.ceil(_number(part.get("seconds"), 0) * self.audio_per_second))
 
     def document(self, part: dict) -> int:
-        return max(1, int(part.get("pages") or 1)) * self.per_page
+        return math.floor(_number(part.get("pages"), 1)) * self.per_page
 
 
 @dataclass
 class Flattened:
     text: str = ""
     attachments: list[tuple[str, str, int, int]] = field(default_factory=list)  # kind, reference, offset, tokens
+    pending: str = ""  # text since the last placeholder; escaped whole, as a control string may be spread over parts
+
+    def flush(self) -> None:
+        self.text, self.pending = self.text + escape(self.pending), ""
 
 
 class Flattener:
@@ -67,34 +86,37 @@ class Flattener:
     def __init__(self, budget: Budget | None = None):
         self.budget, self.count = budget or Budget(), 0
 
-    def visit(self, content: str | list | None) -> Flattened:
+    def visit(self, content) -> Flattened:
+        """content: a text or a list of parts; anything else is a single part. A part is an object with a type, or its text."""
         out = Flattened()
-        for part in [{"type": "text", "text": content}] if isinstance(content, str) or content is None else content:
-            if isinstance(part, str):
-                part = {"type": "text", "text": part}
-            getattr(self, f"visit_{part.get('type', 'text')}", self.visit_unknown)(part, out)
+        for part in content if isinstance(content, list) else [content]:
+            kind = part.get("type", "text") if isinstance(part, dict) else "text"
+            visit = {"text": self.visit_text, "image": self.visit_attached, "audio": self.visit_attached, "document": self.visit_attached}
+            visit.get(kind if isinstance(kind, str) else "", self.visit_unknown)(part, out)
+        out.flush()
         return out
 
-    def visit_text(self, part: dict, out: Flattened) -> None:
-        out.text += escape(part.get("text") or "")
+    def visit_text(self, part, out: Flattened) -> None:
+        out.pending += _plain(part.get("text") if isinstance(part, dict) else part)
 
-    def _attach(self, kind: str, part: dict, out: Flattened) -> None:
-        out.attachments.append((kind, str(part.get("ref") or part.get("url") or ""), len(out.text), getattr(self.budget, kind)(part)))
+    def visit_attached(self, part: dict, out: Flattened) -> None:
+        out.flush()
+        kind = part["type"]
+        out.attachments.append((kind, _plain(part.get("ref") or part.get("url")), len(out.text), getattr(self.budget, kind)(part)))
         out.text += f"<|{kind}:{self.count}|>"
         self.count += 1
 
-    def visit_image(self, part: dict, out: Flattened) -> None:
-        self._attach("image", part, out)
-
-    def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._attach("audio", part, out)
-
-    def visit_document(self, part: dict, out: Flattened) -> None:
-        self._attach("document", part, out)
-
     def visit_unknown(self, part: dict, out: Flattened) -> None:
         """Parts of another type are kept as the text of their JSON, so nothing is lost."""
-        out.text += escape(json.dumps(part, ensure_ascii=False, sort_keys=True))
+        out.pending += _plain(part)
+
+
+def parse_parts(value: str):
+    """The parts of a JSON list; what is no JSON is one part of text."""
+    try:
+        return json.loads(value)
+    except (ValueError, RecursionError):
+        return value
 
 
 def format_turns(turns: list[tuple[str, str | list]], budget: Budget | None = None) -> tuple[str, list[tuple[int, int]], list[tuple]]:
@@ -104,7 +126,7 @@ def format_turns(turns: list[tuple[str, str | list]], budget: Budget | None = No
     visitor = Flattener(budget)
     for role, content in turns:
         flat = visitor.visit(content)
-        head = TURN + escape(role or "") + BODY
+        head = TURN + escape(_plain(role)) + BODY
         start = at + len(head)
         if role == "assistant":
             mask.append((start, start + len(flat.text)))
@@ -130,7 +152,7 @@ def format_conversations(rows: DataFrame, parts: str | None = None, budget: Budg
     """One row per conversation: formatted text, loss mask and attachments.
 
     rows: conv_id, turn, role, text; parts names a further column with a JSON list of typed parts, used instead of text
-    where it isn't null. Turns go by turn, ties by role and text; null turns come first, null roles and texts count as
+    where it isn't null or empty; malformed JSON counts as text, lone surrogates as replacement characters. Turns go by turn, ties by role and text; null turns come first, null roles and texts count as
     empty, a null conv_id is a conversation of its own. Other columns aren't read. A conversation is one
     record of the output and is assembled whole, so it must fit in a task; nothing else is gathered."""
     more = F.col(parts) if parts else F.lit(None).cast("string")
@@ -140,7 +162,7 @@ def format_conversations(rows: DataFrame, parts: str | None = None, budget: Budg
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [format_turns([(t["role"], json.loads(t["parts"]) if t["parts"] else t["text"]) for t in turns], budget) for turns in b["turns"]]
+            made = [format_turns([(t["role"], parse_parts(t["parts"]) if t["parts"] else t["text"]) for t in turns], budget) for turns in b["turns"]]
             yield pd.DataFrame(
                 {
                     "conv_id": b["conv_id"],

@@ -92,7 +92,10 @@ def plan(table: pd.DataFrame, weights: tuple[float, ...], shards: int, seed: int
     leaves = split(np.array([len(b) for b, _ in drawn], dtype=np.int64), shards, rng) if names else np.zeros((shards, 0), np.int64)
     rows = []
     for k, (s, (blocks, epochs)) in enumerate(zip(names, drawn, strict=True)):
-        rows.append(pd.DataFrame({"source": pd.Series([s] * len(blocks), dtype=object), "block": blocks, "epoch": epochs, "shard": np.repeat(np.arange(shards), leaves[:, k])}))
+        ends = np.cumsum(leaves[:, k])
+        for shard, (a, b) in enumerate(zip(ends - leaves[:, k], ends, strict=True)):  # each leaf takes its piece of the draws
+            if b > a:
+                rows.append(pd.DataFrame({"source": pd.Series([s] * (b - a), dtype=object), "block": blocks[a:b], "epoch": epochs[a:b], "shard": shard}))
     draws = pd.concat(rows) if rows else pd.DataFrame({"source": [], "block": [], "epoch": [], "shard": []})
     return Plan(pd.DataFrame({"source": pd.Series(names, dtype=object), "source_size": sizes, "target": goal, "taken": taken}), draws)
 
@@ -129,17 +132,20 @@ def mix(
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str, blocks: int = 1024, shards: int = 64, seed: int = 17) -> DataFrame:
+    """One row for each row of documents; shards: the shards of the mix that draw it, ascending, one for each draw. taken
+    counts these draws. Nulls, ties and repeated rows are treated as in mix; a source's name is compared exactly."""
     scratch = Scratch(spark, "mix")
     sized = scratch.save(
         documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size"), block_column(blocks, seed).alias("block")), "sized"
     )
     found = _plan_for(sized, WEIGHTS, shards, blocks, seed, 3.0)
-    times = found.draws.groupby(["source", "block"], dropna=False).size().reset_index(name="times")
-    times["source"] = times["source"].astype(object).where(times["source"].notna(), None)
-    drawn = maybe_broadcast(_frame(spark, times, "_s string, _b int, times long"), len(times), 64)
+    leaves = found.draws.groupby(["source", "block"], dropna=False)["shard"].agg(lambda x: sorted(int(k) for k in x)).reset_index(name="shards")
+    leaves["source"] = leaves["source"].astype(object).where(leaves["source"].notna(), None)
+    drawn = maybe_broadcast(_frame(spark, leaves, "_s string, _b int, shards array<int>"), len(leaves), 96)
     about = maybe_broadcast(_frame(spark, found.sources[["source", "source_size", "target"]], "_n string, source_size long, target double"), len(found.sources), 64)
+    times = F.coalesce(F.size("shards"), F.lit(0))
     return (
         sized.join(drawn, sized["source"].eqNullSafe(drawn["_s"]) & (sized["block"] == drawn["_b"]), "left")
         .join(about, sized["source"].eqNullSafe(about["_n"]))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.when(F.col("shards").isNull(), 0).otherwise(F.col("size") * times).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     )
