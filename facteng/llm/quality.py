@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 from .training import labelled_sample, sigmoid
 
 DIM = 64
@@ -110,7 +110,7 @@ def vocabulary_of(sample: DataFrame, size: int) -> list[str]:
             c = Counter(p for t in b["text"] for p in all_pieces(t))
             yield pd.DataFrame({"piece": list(c), "n": list(c.values())})
 
-    counts = sample.select("text").mapInPandas(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n >= 3")
+    counts = sample.select("text").mapInPandas(lean(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n >= 3")
     best = counts.orderBy(F.desc(F.col("piece").startswith("<")), F.desc("n"), "piece").limit(size)
     return [r.piece for r in best.collect()]
 
@@ -145,7 +145,7 @@ def word_vectors(docs: DataFrame, spark: SparkSession, vocabulary: list[str]) ->
         total = np.sum([np.frombuffer(x, np.float32) for x in b["sums"]], axis=0, dtype=np.float64)
         return pd.DataFrame({"block": b["block"].iloc[:1], "sums": [total.tobytes()]})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "block long, sums binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "block long, sums binary")
     blocks = parts.groupBy("block").applyInPandas(add, "block long, sums binary").collect()
     out = np.zeros((n, DIM))
     for r in blocks:
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, spark: SparkSession, sample: DataFrame, vocabulary_size
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": [pool(reader, vectors, marks, t).tolist() for t in b["text"]], "y": b["quality"]})
 
-    data = sample.select("doc_id", "text", "quality").mapInPandas(run, "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id", kind="stable")
+    data = sample.select("doc_id", "text", "quality").mapInPandas(lean(run), "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id", kind="stable")
     y = data["y"].to_numpy(np.float64)
     if len(y) == 0 or y.min() == y.max():
         base = float((y.sum() + 0.5) / (len(y) + 1.0))
@@ -251,7 +251,7 @@ def score(docs: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
             z = np.tanh((x - m.center) / m.scale @ m.w1 + m.b1) @ m.w2 + m.b2
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigmoid(z / m.temperature))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def fold(modulus: int):

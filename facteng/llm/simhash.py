@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, lean
 from .components import connected_components
 
 #: Segments in each of the six bands (32 in all), as (first segment, segments).
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), F.col("text").cast("string").cast("binary"))
-    return plain.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return plain.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
         if len(held_key):
             yield found(held_key, held_fp)
 
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, width: int = 4, radius: int = 4) -> DataFrame:

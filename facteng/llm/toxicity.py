@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 from .training import SparseRows, fit_logistic, labelled_sample, sigmoid
 
 _WORD = re.compile(r"\w+")
@@ -66,7 +66,7 @@ def _statistics(sample: DataFrame, categories: tuple[str, ...]) -> pd.DataFrame:
             yield pd.DataFrame({"feature": list(counts[0]), "n": list(counts[0].values())} | {x: [c[f] for f in counts[0]] for x, c in zip(names, counts[1:], strict=True)})
 
     schema = "feature string, n long, " + ", ".join(f"{x} long" for x in names)
-    sums = sample.mapInPandas(run, schema).groupBy("feature").agg(*[F.sum(x).alias(x) for x in ["n", *names]])
+    sums = sample.mapInPandas(lean(run), schema).groupBy("feature").agg(*[F.sum(x).alias(x) for x in ["n", *names]])
     return sums.where(" or ".join(f"{x} >= 3" for x in names))
 
 
@@ -92,7 +92,7 @@ def fit_chain(sample: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Ch
             yield pd.DataFrame({"doc_id": b["doc_id"], "col": [list(c) for c in found], "val": [list(c.values()) for c in found]} | {c: b[c] for c in categories})
 
     schema = "doc_id long, col array<int>, val array<int>, " + ", ".join(f"{c} int" for c in categories)
-    data = sample.mapInPandas(rows, schema).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    data = sample.mapInPandas(lean(rows), schema).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     lengths = [len(c) for c in data["col"]]
     flat = lambda c: np.concatenate([np.asarray(v, dtype=np.int64) for v in data[c]]) if sum(lengths) else np.empty(0, np.int64)
     x = SparseRows(np.repeat(np.arange(len(data)), lengths), flat("col"), np.log1p(flat("val")), (len(data), len(features)))
@@ -114,7 +114,7 @@ def fit_chain(sample: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Ch
 class Scorer:
     """Applies a chain to texts; remembers which features a word has."""
 
-    def __init__(self, chain: Chain, remember: int = 1 << 19):
+    def __init__(self, chain: Chain, remember: int = 1 << 17):
         self.chain, self.remember, self.seen = chain, remember, {}
         n = len(chain.features)
         self.words = np.array([w[:n] for w, _ in chain.models]).reshape(len(chain.models), n)
@@ -161,7 +161,7 @@ def score(docs: DataFrame, spark: SparkSession, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in p.T]], ["doc_id", *names])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    return plain.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -187,7 +187,7 @@ def keep_clean(docs: DataFrame, spark: SparkSession, chain: Chain, threshold: fl
             keep = [scorer(t)[-1] < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
