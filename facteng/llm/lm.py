@@ -36,7 +36,7 @@ ORDER = 2
 #: Discounts apply to counts up to this one.
 CUTOFF = 5
 #: Training tokens for each partition of a table, about.
-PER_PART = 1 << 20
+PER_PART = 2 << 20
 #: Tokens of a block, about; a longer text is a block of its own.
 PER_BLOCK = 2 << 20
 #: Successors of a context that one partition counts, about.
@@ -65,14 +65,6 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def pack_sorted(a: np.ndarray) -> bytes:
-    return pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def unpack_sorted(data: bytes, dtype) -> np.ndarray:
-    return np.cumsum(unpack(data, dtype), dtype=dtype)
-
-
 def discounts(n: list[float]) -> np.ndarray:
     """d[r] for counts r = 0..CUTOFF from n[r], the number of n-grams seen r times (r = 1..CUTOFF+1): Katz's form of
     Good-Turing where it is between 0 and 1, else an absolute discount of a half."""
@@ -113,7 +105,7 @@ class Hashes(dict):
 class Block(NamedTuple):
     ids: np.ndarray  # of each text its doc_id and whether that is null
     sizes: np.ndarray  # tokens of each text
-    words: np.ndarray  # distinct hashes, ascending; the first is the end's
+    words: np.ndarray  # distinct hashes; the first is the end's
     tokens: np.ndarray  # places in words
 
     @property
@@ -132,8 +124,12 @@ def encode(plain: DataFrame, per_block: int) -> DataFrame:
         hashed: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            words, at = np.unique(np.concatenate(hashed), return_inverse=True)
-            values = (pack(np.array(ids, np.int64).reshape(-1)), pack(np.array([len(x) for x in hashed], np.uint64)), pack_sorted(words), pack(at.astype(np.uint32)))
+            words, at, n = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+            n[0] = len(at) + 1  # the end's comes first, then the most frequent: small numbers compress well
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            values = (pack(np.array(ids, np.int64).reshape(-1)), pack(np.array([len(x) for x in hashed], np.uint64)), pack(words[order]), pack(rank[at]))
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([len(at)], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names)
 
         held = 0
@@ -157,7 +153,7 @@ def encode(plain: DataFrame, per_block: int) -> DataFrame:
 
 
 def read_block(docs: bytes, sizes: bytes, words: bytes, tokens: bytes) -> Block:
-    return Block(unpack(docs, np.int64).reshape(-1, 2), unpack(sizes, np.uint64).astype(np.int64), unpack_sorted(words, np.uint64), unpack(tokens, np.uint32).astype(np.int64))
+    return Block(unpack(docs, np.int64).reshape(-1, 2), unpack(sizes, np.uint64).astype(np.int64), unpack(words, np.uint64), unpack(tokens, np.uint32).astype(np.int64))
 
 
 ANSWER = "level int, block string, part long, total binary, odd binary, other binary, stats array<long>"
@@ -182,7 +178,7 @@ def ask_words(blocks: DataFrame, parts: int) -> DataFrame:
                 n = np.bincount(block.tokens[block.training], minlength=len(block.words)).astype(np.uint64)
                 part = parts_of(block.words, parts)
                 own = [(p, part == p) for p in np.unique(part)]
-                columns = [pa.array([p for p, _ in own], pa.int64()), pa.array([row["block"]] * len(own), pa.string()), *[pa.array(x, pa.binary()) for x in ([pack_sorted(block.words[m]) for _, m in own], [pack(n[m]) for _, m in own])]]
+                columns = [pa.array([p for p, _ in own], pa.int64()), pa.array([row["block"]] * len(own), pa.string()), *[pa.array(x, pa.binary()) for x in ([pack(block.words[m]) for _, m in own], [pack(n[m]) for _, m in own])]]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "block", "keys", "n"])
 
     return blocks.mapInArrow(lean(run), "part long, block string, keys binary, n binary")
@@ -190,7 +186,7 @@ def ask_words(blocks: DataFrame, parts: int) -> DataFrame:
 
 def count_words(b: pd.DataFrame) -> pd.DataFrame:
     """The answers of one partition of the words' table."""
-    keys = [unpack_sorted(k, np.uint64) for k in b["keys"]]
+    keys = [unpack(k, np.uint64) for k in b["keys"]]
     own, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(own), np.int64)
     np.add.at(total, at, np.concatenate([unpack(n, np.uint64) for n in b["n"]]).astype(np.int64))
@@ -278,15 +274,20 @@ def layout(block: Block, g: Grams, low: Grams, count: np.ndarray, dealt: Dealt)
     return Layout(entries // size, entries % size, np.bincount(at, minlength=len(entries)), asked[np.argsort(at, kind="stable")])
 
 
-ASKED = "part long, block string, contexts binary, runs binary, words binary, n binary, low binary"
+#: Words are sent once for each partition asked, and n-grams as places among them.
+ASKED = "part long, block string, contexts binary, runs binary, words binary, word binary, n binary, low binary"
 
 
-def asked_of(name: str, block: Block, g: Grams, low: Grams, count: np.ndarray, dealt: Dealt, turn: int, turns: int) -> list[tuple]:
+def asked_of(name: str, block: Block, g: Grams, low: Grams, count: np.ndarray, dealt: Dealt, order: int, turn: int, turns: int) -> list[tuple]:
     lay, out = layout(block, g, low, count, dealt), []
     for p, entries, grams in lay.pieces():
         if p % turns == turn:
             own = lay.grams[grams]
-            arrays = (low.hash[lay.context[entries]], lay.runs[entries].astype(np.uint32), block.words[g.word[own]], g.n[own].astype(np.uint32), count[g.suffix[own]].astype(np.uint64))
+            words, word = np.unique(g.word[own], return_inverse=True)
+            below = count[g.suffix[own]]
+            if order == 2:  # the suffix is the word
+                below = count[words]
+            arrays = (low.hash[lay.context[entries]], lay.runs[entries].astype(np.uint32), block.words[words], word.astype(np.uint32), g.n[own].astype(np.uint32), below.astype(np.uint64))
             out.append((p, name, *(pack(x) for x in arrays)))
     return out
 
@@ -310,9 +311,11 @@ def count_grams(level: int):
         sizes = np.array([int(r.sum()) for r in runs])
         own, entry = np.unique(np.concatenate(contexts), return_inverse=True)
         context = np.repeat(entry, np.concatenate(runs))
-        words = np.concatenate([unpack(x, np.uint64) for x in b["words"]])
+        word = [unpack(x, np.uint32) for x in b["word"]]
+        words = np.concatenate([unpack(x, np.uint64)[w] for x, w in zip(b["words"], word, strict=True)])
         n = np.concatenate([unpack(x, np.uint32) for x in b["n"]]).astype(np.int64)
-        low = np.concatenate([unpack(x, np.uint64) for x in b["low"]]).astype(np.int64)
+        low = [unpack(x, np.uint64).astype(np.int64) for x in b["low"]]
+        low = np.concatenate([x[w] for x, w in zip(low, word, strict=True)] if level == 2 else low)
         order = np.lexsort((words, context))
         sorted_c, sorted_w = context[order], words[order]
         new = np.ones(len(order), bool)
@@ -453,7 +456,7 @@ def katz_scores(docs: DataFrame, spark: SparkSession, order: int = ORDER, per_pa
                 for r in left.itertuples(index=False):
                     block = read_block(*(getattr(r, c) for c in columns))
                     low, count, _, _ = walk(block, right, model, dealt, level - 1)
-                    out += asked_of(r.block, block, longer(block, low, level), low, count, dealt, turn, many)
+                    out += asked_of(r.block, block, longer(block, low, level), low, count, dealt, level, turn, many)
                 return pd.DataFrame(out, columns=[x.split()[0] for x in ASKED.split(", ")])
 
             return run
