@@ -4,6 +4,8 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from facteng import Program, V, atom, cmp, count_, not_
 from facteng.lib import lists, order
@@ -47,35 +49,101 @@ def test_random_closures_against_a_naive_one(spark):
         assert {tuple(x) for x in p.evaluate(spark).relation("path").collect()} == want
 
 
-def test_strata_with_zero_counts(spark):
-    r = run(spark, """known : string -> rel. parent, desc : string -> string -> rel. n : string -> int -> rel. leaf : string -> rel. tot, few : int -> rel.
-        known "a". known "b". known "c". known "d". parent "a" "b". parent "b" "c". parent "a" "d".
-        desc X Y :- parent X Y. desc X Z :- desc X Y, parent Y Z. n X N :- known X, N = count { Y | desc X Y }.
-        leaf X :- known X, not parent X _. tot S :- S = sum { N | n _ N }. few M :- M = min { N | n _ N }.""")
-    assert r.render("n") == ['n "a" 3.', 'n "b" 1.', 'n "c" 0.', 'n "d" 0.']
-    assert r.render("leaf") == ['leaf "c".', 'leaf "d".'] and r.render("tot") == ["tot 4."] and r.render("few") == ["few 0."]
-    assert set(r.outputs()) == set(r.program.types.rels)
+def naive(rules, facts):
+    """All facts that rules derive, by trying every combination of facts until nothing is new. A rule: head, body atoms and
+    tests; an atom: relation and variable names."""
+    known = {r: set(f) for r, f in facts.items()}
 
+    def match(body, env):
+        if not body:
+            yield env
+            return
+        (rel, names), *rest = body
+        for fact in list(known[rel]):
+            new = dict(env)
+            if all(new.setdefault(n, v) == v for n, v in zip(names, fact, strict=True)):
+                yield from match(rest, new)
 
-def test_aggregates(spark):
-    r = run(spark, """s : string -> string -> int -> rel. s "n" "ink" 3. s "n" "pen" 7. s "m" "ink" 8. shop : string -> rel. shop "n". shop "m". shop "z".
-        big : int -> rel. big 9223372036854775807. big 1. f : float -> rel. f 2.5. f 1.0. x : int -> rel. x 0. x 2.
-        rev : string -> int -> rel. rev X T :- shop X, T = sum { P | s X _ P }. low : string -> rel. low I :- I = min { J | s _ J _ }.
-        hi : float -> rel. hi M :- M = max { X | f X }. over : int -> rel. over T :- T = sum { B | big B }. none : int -> rel. none M :- M = max { P | s "q" _ P }.
-        bad : int -> rel. bad S :- S = sum { 4 / X | x X }. two : string -> rel. two X :- shop X, 2 = count { I | s X I _ }. two_rows : int -> rel. two_rows N :- N = count { X | x X }.
-        e : float -> rel. e S :- S = sum { X | f X, X > 9.0 }.""")
-    assert r.render("rev") == ['rev "m" 8.', 'rev "n" 10.', 'rev "z" 0.'] and r.render("low") == ['low "ink".'] and r.render("hi") == ["hi 2.5."]
-    assert r.render("over") == r.render("none") == r.render("bad") == [] and r.render("two") == ['two "n".'] and r.render("two_rows") == ["two_rows 2."]
-    assert r.render("e") == ["e 0.0."]
-
-
-def test_facts_as_values(spark):
-    r = run(spark, """expr : type. num : int -> expr. add : expr -> expr -> expr. program : expr -> rel. val : expr -> int -> rel.
-        val (num N) N :- num N. val (add A B) N :- add A B, val A X, val B Y, N = X + Y. ?- program E, val E N. ?- num N. ?- X = num 7.
-        pt : int -> expr. only : expr -> rel. only X :- num N, X = pt N. pt 1. same : int -> rel. same 1 :- num 1 = num 1. same 2 :- pt 5 = pt 6.""",
-        "program (add (num 1) (add (num 2) (num (-3)))).")
-    assert r.answers(0) == ["E = add (num 1) (add (num 2) (num (-3))), N = 0."] and r.answers(1) == ["N = -3.", "N = 1.", "N = 2."]
-    assert r.answers(2) == ["no."] and r.render("only") == ["only (pt 1)."] and r.render("same") == ["same 1."]
+    while True:
+        made = [(rel, tuple(env[n] for n in names)) for (rel, names), body, (a, op, b) in rules for env in match(body, {}) if {"<": env[a] < env[b], "<>": env[a] != env[b], "": True}[op]]
+        if all(f in known[rel] for rel, f in made):
+            return known
+        for rel, f in made:
+            known[rel].add(f)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_programs_against_naive_evaluation(spark, seed):
+    rng = random.Random(seed)
+    base, derived = ["bus", "tram"], ["link", "loop", "hub"]
+    facts = {r: {(rng.randrange(6), rng.randrange(6)) for _ in range(7)} for r in base} | {r: set() for r in derived}
+    rules = []
+    for head in derived:
+        for _ in range(rng.randint(1, 2)):
+            chain = [f"V{k}" for k in range(rng.randint(2, 4))]
+            body = [(rng.choice(base if k == 0 else base + derived), rng.choice([(a, b), (b, a), (a, b)])) for k, (a, b) in enumerate(zip(chain, chain[1:], strict=False))]
+            test = rng.choice([("V0", "", "V1"), ("V0", "<", chain[-1]), ("V0", "<>", chain[-1])])
+            rules.append(((head, (rng.choice(chain), rng.choice(chain))), body, test))
+    text = "bus, tram, link, loop, hub : int -> int -> rel. "
+    for (head, names), body, (a, op, b) in rules:
+        text += f"{head} {' '.join(names)} :- {', '.join(f'{r} {x} {y}' for r, (x, y) in body)}{f', {a} {op} {b}' if op else ''}. "
+    p = Program(text)
+    for r in base:
+        p.load(r, spark.createDataFrame(sorted(facts[r]), "a int, b int"))
+    got, want = p.evaluate(spark), naive(rules, facts)
+    for r in derived:
+        assert {tuple(x) for x in got.relation(r).collect()} == want[r], (text, r)
+    assert set(got.outputs()) == set(derived) and verify(got) == []
+
+
+def test_negation_and_aggregates_of_random_rows(spark):
+    rng = random.Random(11)
+    depots = [f"depot{k}" for k in range(7)]
+    loads = {(rng.choice(depots[:5]), f"crate{rng.randrange(9)}", rng.randint(-40, 40)) for _ in range(25)}
+    temps = {(rng.choice(depots), round(rng.uniform(-5, 5), 2)) for _ in range(12)}
+    p = Program("""load : string -> string -> int -> rel. temp : string -> float -> rel. depot : string -> rel.
+        idle, crowded, light : string -> rel. weight, kinds : string -> int -> rel. warmest : string -> float -> rel. odd, excess : string -> int -> rel. whole : int -> int -> rel.
+        idle D :- depot D, not load D _ _. weight D W :- depot D, W = sum { K | load D _ K }. kinds D N :- depot D, N = count { C | load D C _ }.
+        crowded D :- kinds D N, N > 4. light C :- load _ C _, C = min { X | load _ X _ }. warmest D T :- depot D, T = max { U | temp D U }.
+        odd D W :- depot D, W = sum { 60 / (K - 3) | load D _ K }. excess D W :- depot D, W = sum { 9223372036854775807 | load D _ _ }.
+        whole A B :- A = count { D | crowded D }, B = sum { W | weight _ W }.""")
+    p.load("load", spark.createDataFrame(sorted(loads), "d string, c string, k int"))
+    p.load("temp", spark.createDataFrame(sorted(temps), "d string, t double"))
+    p.load("depot", spark.createDataFrame([(d,) for d in depots], "d string"))
+    r = p.evaluate(spark)
+    got = lambda name: {tuple(x) for x in r.relation(name).collect()}
+    of = {d: [x for x in loads if x[0] == d] for d in depots}
+    weight = {d: sum(k for *_, k in of[d]) for d in depots}
+    assert got("weight") == set(weight.items()) and got("idle") == {(d,) for d in depots if not of[d]}
+    kinds = {d: len(of[d]) for d in depots}  # valuations are counted, of the crate and of what isn't named
+    assert got("kinds") == set(kinds.items())
+    assert got("crowded") == {(d,) for d in depots if kinds[d] > 4} and got("light") == {(min(c for _, c, _ in loads),)}
+    assert got("warmest") == {(d, max(t for x, t in temps if x == d)) for d in {x for x, _ in temps}}
+    trunc = lambda a, b: abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+    assert got("odd") == {(d, sum(trunc(60, k - 3) for *_, k in of[d])) for d in depots if all(k != 3 for *_, k in of[d])}
+    assert got("excess") == {(d, 9223372036854775807 * len(of[d])) for d in depots if len(of[d]) <= 1}
+    assert got("whole") == {(len(got("crowded")), sum(weight.values()))}
+
+
+def test_random_terms_are_values(spark):
+    rng = random.Random(4)
+
+    def grow(depth):
+        return rng.randint(-9, 9) if depth == 0 or rng.random() < 0.3 else (rng.choice(["glue", "stack"]), grow(depth - 1), grow(depth - 1))
+
+    text = lambda t: f"(plank {t if t >= 0 else f'({t})'})" if isinstance(t, int) else f"({t[0]} {text(t[1])} {text(t[2])})"
+    high = lambda t: 1 if isinstance(t, int) else (high(t[1]) + high(t[2]) if t[0] == "stack" else max(high(t[1]), high(t[2])))
+    parts = lambda t: {text(t)} | (set() if isinstance(t, int) else parts(t[1]) | parts(t[2]))
+    made = [grow(3) for _ in range(5)]
+    r = run(spark, """wood : type. plank : int -> wood. glue, stack : wood -> wood -> wood. built : wood -> rel. high : wood -> int -> rel.
+        high (plank N) 1 :- plank N. high (stack A B) (X + Y) :- stack A B, high A X, high B Y. high (glue A B) X :- glue A B, high A X, high B Y, X >= Y.
+        high (glue A B) Y :- glue A B, high A X, high B Y, X < Y. ?- built T, high T N. ?- X = plank 77.
+        nail : int -> wood. firm : wood -> rel. firm X :- plank N, X = nail N. nail 2. alike : int -> rel. alike 1 :- plank N, plank N = plank N. alike 2 :- nail 8 = nail 9.""",
+        " ".join(f"built {text(t)}." for t in made) + " built (plank 2).")
+    want = {f"T = {text(t)[1:-1]}, N = {high(t)}." for t in [*made, 2]}
+    assert set(r.answers(0)) == want and r.answers(1) == ["no."]
+    assert r.render("firm") == ["firm (nail 2)."] and r.render("alike") == ["alike 1."]
+    assert len(r.render("high")) == len(set().union(*map(parts, [*made, 2])))
 
 
 def test_recursive_existence_check(spark):
@@ -85,13 +153,22 @@ def test_recursive_existence_check(spark):
 
 
 def test_records_refinements_and_downcasts(spark):
-    r = run(spark, """span : type = { file : string, line : int }. v : type = { loc : span, name : string }. w : type = { loc : span, k : int }. t : type = v | w.
-        years <: int. student : string -> years -> rel. student "ann" 30. old : string -> rel. old N :- student N Y, Y > 20.
-        use : t -> rel. use (v (span "f" 3) "x"). use (w (span "g" 4) 9). at : t -> int -> rel. at T L :- use T, L = T.loc.line.
-        onlyw : int -> rel. onlyw K :- use (X : w), X = w _ K. moved : t -> rel. moved (T with { loc = (span "h" 7) }) :- use T.
-        named : string -> rel. named N :- v { name = N, .. }.""")
-    assert r.render("at") == ['at (v (span "f" 3) "x") 3.', 'at (w (span "g" 4) 9) 4.'] and r.render("onlyw") == ["onlyw 9."]
-    assert r.render("moved") == ['moved (v (span "h" 7) "x").', 'moved (w (span "h" 7) 9).'] and r.render("old") == ['old "ann".'] and r.render("named") == ['named "x".']
+    rng = random.Random(8)
+    buoys = [(rng.randint(0, 9), rng.randint(0, 9), f"b{k}") for k in range(6)]
+    ships = [(rng.randint(0, 9), rng.randint(0, 9), rng.randint(1, 50)) for _ in range(6)]
+    p = Program("""spot : type = { east : int, north : int }. buoy : type = { at : spot, tag : string }. ship : type = { at : spot, crew : int }. craft : type = buoy | ship.
+        b : int -> int -> string -> rel. s : int -> int -> int -> rel. seen, towed : craft -> rel. seen (buoy (spot E N) T) :- b E N T. seen (ship (spot E N) C) :- s E N C.
+        place : int -> int -> rel. place E N :- seen X, E = X.at.east, N = X.at.north. towed (X with { at = (spot 0 1) }) :- seen X. tags : string -> rel. tags T :- buoy { tag = T, .. }.
+        crews, many : int -> rel. crews C :- seen (X : ship), X = ship _ C. size <: int. berth : size -> rel. berth 3. fits : int -> rel. fits N :- berth B, N = B + 1. many C :- crews C, C > 20.
+        harbour : int -> rel. harbour N :- N = count { X | towed X }.""")
+    p.load("b", spark.createDataFrame(buoys, "e int, n int, t string"))
+    p.load("s", spark.createDataFrame(ships, "e int, n int, c int"))
+    r = p.evaluate(spark)
+    got = lambda name: {tuple(x) for x in r.relation(name).collect()}
+    assert got("place") == {(e, n) for e, n, _ in buoys + ships} and got("crews") == {(c,) for *_, c in ships} and got("many") == {(c,) for *_, c in ships if c > 20}
+    assert {t for _, _, t in buoys} == {t for (t,) in got("tags")} and r.render("fits") == ["fits 4."]
+    assert set(r.render("towed")) == {f'towed (buoy (spot 0 1) "{t}").' for *_, t in buoys} | {f"towed (ship (spot 0 1) {c})." for *_, c in ships}
+    assert got("harbour") == {(len({t for *_, t in buoys}) + len({c for *_, c in ships}),)}
 
 
 def test_bound_columns_and_divergence(spark):
@@ -190,6 +267,19 @@ def test_order_library(spark):
     n = spark.createDataFrame([(5,), (-1,), (5,), (9,), (None,)], "x long")
     assert got(order.next_(n)) == [(-1, 5), (5, 9)] and got(order.position(n)) == [(-1, 0), (5, 1), (9, 2)] and got(order.first(n)) == [(-1,)]
     assert got(order.first(n.limit(0))) == got(order.next_(n.limit(0))) == got(order.position(n.limit(0))) == []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:  # bounds of ranges are sampled for every shuffle, so each must be made once
+        wide = spark.range(200_000).select(((F.xxhash64("id") % 10**9) * 2).alias("x")).distinct().repartition(16)
+        n = wide.count()
+        assert order.position(wide).agg(F.min("position"), F.max("position"), F.countDistinct("position")).first() == (0, n - 1, n)
+        assert order.next_(wide).agg(F.count("x"), F.sum((F.col("next") <= F.col("x")).cast("int"))).first() == (n - 1, 0)
+        one = wide.select(F.lit("k").alias("k"), F.col("x").alias("i"), F.floor(F.col("x") / 1000).alias("s"))
+        mine, slow = order.rank(one), one.select(F.col("i").alias("item"), F.rank().over(Window.orderBy(F.desc("s"))).cast("long").alias("want"))
+        assert mine.join(slow, "item").where("rank = want").count() == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.exchange.reuse")
     many = spark.range(1000).selectExpr("1000 - id AS x")
     assert got(order.next_(many)) == [(k, k + 1) for k in range(1, 1000)]
 
