@@ -6,6 +6,7 @@ once (Program.use). Closures with few nodes per path are also offered on DataFra
 
 from __future__ import annotations
 
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,15 +95,22 @@ def bounded(p, edge: str, limit: int) -> SimpleNamespace:
 
 
 def closure(spark: SparkSession, edges: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """Transitive closure of edges(src, dst) by squaring: every round joins the last additions with all paths on both
-    sides, so the number of rounds is the logarithm of the longest shortest path."""
+    """Transitive closure of edges(src, dst) in as many rounds as the logarithm of the longest distance.
+
+    After k rounds all pairs at distance 2**k or less are known, those at exactly 2**k apart. A round sets the latter behind
+    all known pairs: every pair at a greater distance up to twice as far is made from a shortest path's last 2**k edges only,
+    so a pair on a chain is derived once. Where no pair is exactly so far apart none is farther."""
     tables = tables or Tables(spark)
-    full, n = tables.save(edges.select(F.col(edges.columns[0]).alias("src"), F.col(edges.columns[1]).alias("dst")).dropna().distinct())
-    delta = full
+    named = edges.select(F.col(edges.columns[0]).alias("src"), F.col(edges.columns[1]).alias("dst")).dropna().distinct()
+    exact, n = tables.save(named.withColumn("far", F.lit(1)))
+    near, pieces = None, [exact]
     while n:
-        a = delta.join(full.select(F.col("src").alias("m"), F.col("dst").alias("end")), F.col("dst") == F.col("m")).select("src", F.col("end").alias("dst"))
-        b = full.join(delta.select(F.col("src").alias("m"), F.col("dst").alias("end")), F.col("dst") == F.col("m")).select("src", F.col("end").alias("dst"))
-        delta, n = tables.save(a.union(b).distinct().join(full, ["src", "dst"], "left_anti"))
-        if n:
-            full, _ = tables.save(full.union(delta))
-    return full
+        step = exact.where("far = 1").select(F.col("src").alias("m"), F.col("dst").alias("end"))
+        known = exact.where("far = 1") if near is None else near.union(exact.where("far = 1"))
+        # far: whether the pair is exactly twice as far apart; the least over all ways decides.
+        made = known.join(step, F.col("dst") == F.col("m")).groupBy("src", F.col("end").alias("dst")).agg(F.min("far").alias("far"))
+        fresh, n = tables.save(made.join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        pieces.append(fresh)
+        near = reduce(DataFrame.union, [pieces[0].withColumn("far", F.lit(0)), *[p.withColumn("far", F.lit(0)) for p in pieces[1:-1]], fresh.where("far = 0")])
+        exact, n = fresh, n and (0 if fresh.where("far = 1").isEmpty() else n)
+    return reduce(DataFrame.union, pieces).select("src", "dst")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facteng import Program, V, atom, cmp, count_, not_
-from facteng.lib import lists, order
+from facteng.lib import graph, lists, order
 from facteng.rewrite.simplify import fold
 from facteng.ast import Arith, Lit
 from facteng.sources.proofs import export
@@ -47,6 +47,13 @@ def test_random_closures_against_a_naive_one(spark):
         p = Program("edge, path : int -> int -> rel. path X Y :- edge X Y. " + rule)
         p.load("edge", spark.createDataFrame(sorted(edges), "a int, b int"))
         assert {tuple(x) for x in p.evaluate(spark).relation("path").collect()} == want
+    for n, m in ((9, 12), (40, 60), (30, 29), (5, 0)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} if m != 29 else {(k, k + 1) for k in range(29)}
+        reached = {a: {b for x, b in edges if x == a} for a in range(n)}
+        for _ in range(n):
+            reached = {a: r | {c for b in r for c in reached.get(b, ())} for a, r in reached.items()}
+        got = [tuple(r) for r in graph.closure(spark, spark.createDataFrame(sorted(edges), "a int, b int")).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, r in reached.items() for b in r}
 
 
 def naive(rules, facts):
