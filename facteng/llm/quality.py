@@ -30,13 +30,15 @@ NONZERO = 8
 VOCABULARY = 8192
 MAX_ROWS = 20_000
 HIDDEN = 32
-_CORE = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
+_LETTER = re.compile(r"\w")
 BLOCK = 1024
 
 
 def pieces(token: str) -> tuple[str, ...]:
     """What a token counts as: its letters in lower case, and marks of its form."""
-    before, core, after = _CORE.fullmatch(token).groups()
+    first, last = _LETTER.search(token), _LETTER.search(token[::-1])
+    start, end = (first.start(), len(token) - last.start()) if first else (len(token), len(token))
+    before, core, after = token[:start], token[start:end], token[end:]
     marks = []
     if not core:
         marks.append("<symbol>")
@@ -65,7 +67,7 @@ def shape_marks(text: str, total: int, distinct: int, tops: int) -> list[str]:
 class Reader:
     """Turns texts into counts of known pieces; remembers the pieces of tokens."""
 
-    def __init__(self, vocabulary: dict[str, int], remember: int = 1 << 19):
+    def __init__(self, vocabulary: dict[str, int], remember: int = 1 << 17):
         self.vocabulary, self.remember, self.seen = vocabulary, remember, {}
 
     def ids(self, token: str) -> tuple[int, ...]:

@@ -4,8 +4,8 @@ A fingerprint of 64 bits is embedded as the bit counts of its 32 two-bit segment
 of two embeddings never exceeds the Hamming distance of the fingerprints, so it is a lower bound. The
 segments form six bands. Within Hamming distance 4 at most four bands differ, so at least two of the six have
 equal counts: every fingerprint goes into the grid cells of its 15 pairs of bands, and linked
-fingerprints always share a cell. Inside a cell the range condition (Manhattan distance of the band
-totals at most the radius) prunes, and the exact Hamming distance decides.
+fingerprints always share a cell. Inside a cell the range condition (Manhattan distance of the embeddings
+over all 32 segments at most the radius) prunes, and the exact Hamming distance decides.
 
 Only distinct fingerprints enter the join. A cell with many of them is cut into blocks of bounded size, and
 every pair of blocks is a unit of work of its own, so no cell is gathered in one task. A unit reports a
@@ -80,9 +80,11 @@ def _band_mask(band: int) -> int:
     return ((1 << 2 * n) - 1) << 2 * first
 
 
-def band_totals(fp: np.ndarray) -> np.ndarray:
-    """(6, n) int8: bits set within each band."""
-    return np.stack([np.bitwise_count(fp & np.uint64(_band_mask(b))) for b in range(len(BANDS))]).astype(np.int8)
+def unary_counts(fp: np.ndarray) -> np.ndarray:
+    """The embedding with each count of 0, 1 or 2 written as 00, 01 or 11: the Manhattan distance of two embeddings over all
+    32 segments is the number of differing bits."""
+    low, high = fp & ODD, (fp >> np.uint64(1)) & ODD
+    return low | high | (low & high) << np.uint64(1)
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -97,16 +99,16 @@ def _cells(fps: DataFrame) -> DataFrame:
 
 def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links among fp (distinct values): whoever is not yet reached is compared with
-    one reached value at a time. Pruned by the Manhattan distance of band totals, verified exactly."""
+    one reached value at a time. Pruned by the Manhattan distance of the embeddings, verified exactly."""
     n = len(fp)
-    left, totals = np.arange(n), band_totals(fp)
+    left, counts = np.arange(n), unary_counts(fp)
     out_u, out_v, queue = [], [], []
     while queue or len(left):
         if queue:
             at = queue.pop()
         else:
             at, left = left[0], left[1:]
-        near = left[np.abs(totals[:, left] - totals[:, at : at + 1]).sum(axis=0) <= radius]
+        near = left[np.bitwise_count(counts[left] ^ counts[at]) <= radius]
         near = near[np.bitwise_count(fp[near] ^ fp[at]) <= radius]
         if len(near):
             out_u.append(np.full(len(near), at))
@@ -142,7 +144,7 @@ def links_of_units(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((new, [len(key)])))
     us, vs = [], []
-    totals = band_totals(fp)
+    counts = unary_counts(fp)
     mine = np.repeat(size, size)
     place = np.arange(len(key)) - np.repeat(new, size)
     for step in range(1, min(SMALL, int(size.max(initial=0)))):
@@ -150,7 +152,7 @@ def links_of_units(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
         if not len(i):
             break
         j = i + step
-        ok = np.abs(totals[:, i] - totals[:, j]).sum(axis=0) <= radius
+        ok = np.bitwise_count(counts[i] ^ counts[j]) <= radius
         i, j = i[ok], j[ok]
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
         if ok.any():

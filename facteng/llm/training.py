@@ -11,14 +11,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     """(doc_id, text, *extra, *columns) of at most max_rows labelled documents, the least by a hash of doc_id.
 
     Several labels of one document count by their mean (rounded, halves up); null labels and null ids are left out.
-    At most max_rows ids are broadcast, which bounds the broadcast whatever the size of docs."""
+    Of several rows of one doc_id the one of the least hash of its text counts, so max_rows bounds rows too, and at most
+    so many ids are broadcast, whatever the size of docs."""
     marks = labels.where(F.col("doc_id").isNotNull())
     if where is not None:
         marks = marks.where(where)
     marks = marks.groupBy("doc_id").agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in columns]).dropna()
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(extra or []))
-    return plain.join(F.broadcast(marks), "doc_id")
+    names = [c for c in plain.columns if c != "doc_id"]
+    one = plain.join(F.broadcast(marks.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), *names)).alias("_r"))
+    return one.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in names]).join(F.broadcast(marks), "doc_id")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

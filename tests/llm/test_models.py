@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -94,6 +95,20 @@ def corpus(spark):
     return rows + [(200, None), (201, ""), (202, "W1\tunseenword"), (None, "w1 w2")]
 
 
+def test_long_tokens_are_split_in_linear_time():
+    assert quality.pieces("--Wo-rd!!") == ("wo-rd", "<title>", "<odd>", "<end!>") and quality.pieces("...") == ("<symbol>", "<odd>")
+    began = time.process_time()
+    assert quality.pieces("a" + "-" * 2_000_000 + "a")[1:] == ("<lower>", "<odd>")
+    assert time.process_time() - began < 5
+
+
+def test_repeated_rows_do_not_enlarge_the_sample(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i % 2}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    assert sorted((r.doc_id, r.toxic) for r in labelled_sample(docs, labels, ["toxic"], 10).collect()) == [(0, 1), (1, 1)]
+    assert labelled_sample(docs, labels, ["toxic"], 1).count() == 1
+
+
 class Katz:
     """The model again, from plain counts."""
 
