@@ -67,6 +67,55 @@ def lookup(keys: Column, values: Column, key: Column) -> Column:
     return F.when(at > 0, F.get(values, (at - 1).cast("int")))
 
 
+def concat(lists: Column) -> Column:
+    """The elements of a list of lists, in order."""
+    return F.flatten(lists)
+
+
+def append(a: Column, b: Column) -> Column:
+    return F.concat(a, b)
+
+
+def reverse(a: Column) -> Column:
+    return F.reverse(a)
+
+
+def map_(a: Column, f) -> Column:
+    return F.transform(a, f)
+
+
+def filter_(a: Column, f) -> Column:
+    return F.filter(a, f)
+
+
+def any_(a: Column, f) -> Column:
+    """Whether f holds of some element; false for the empty list."""
+    return F.exists(a, f)
+
+
+def all_(a: Column, f) -> Column:
+    return F.forall(a, f)
+
+
+def elem(a: Column, x) -> Column:
+    return F.array_contains(a, x)
+
+
+def if_(test: Column, yes: Column, no: Column) -> Column:
+    return F.when(test, yes).otherwise(no)
+
+
+def same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
+def iterate(n: int, f, x):
+    """f applied n times, to columns or to any other values."""
+    for _ in range(n):
+        x = f(x)
+    return x
+
+
 def fold_left(a: Column, start: Column, f) -> Column:
     return F.aggregate(a, start, f)
 

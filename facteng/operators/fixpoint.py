@@ -9,6 +9,7 @@ key; if a value still improves after as many rounds as there are keys, it improv
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ class Engine:
         self.states: dict[str, State] = {}
         self.stats: Counter[str] = Counter()
         self.compiler = Compiler(spark, types, self.scan)
-        self.cancelled = False
+        self.cancelled: Callable[[], bool] = lambda: False  # asked before every round
         self.unique: set[str] = set()  # inputs whose rows are known to be distinct
 
     def schema(self, sym: RelSym) -> str:
@@ -190,7 +191,7 @@ class Engine:
         rounds = 0
         while again and any(left.values()):
             rounds += 1
-            if self.cancelled:
+            if self.cancelled():
                 raise ProgramError("E0999", "evaluation was cancelled")
             if rounds > self.max_rounds:
                 raise ProgramError("E0603", f"no fixpoint after {self.max_rounds} rounds")

@@ -212,12 +212,14 @@ class Program:
     def fingerprint(self, rules: list[Rule]) -> str:
         return hashlib.sha256("\n".join(map(show, rules)).encode()).hexdigest()
 
-    def evaluate(self, spark: SparkSession, max_rounds: int = 10_000, reuse: Result | None = None) -> Result:
+    def evaluate(self, spark: SparkSession, max_rounds: int = 10_000, reuse: Result | None = None, cancelled: Callable[[], bool] | None = None) -> Result:
         """All relations at their least fixpoint. reuse: an earlier result of the same inputs, from which components whose
-        rules (and whose premises' rules) haven't changed are taken over."""
+        rules (and whose premises' rules) haven't changed are taken over. cancelled is asked before every round; once it says
+        so, evaluation ends with E0999."""
         rules, parts, found = self.checked()
         engine = Engine(spark, self.types, max_rounds)
         engine.unique = set(self.unique)
+        engine.cancelled = cancelled or engine.cancelled
         facts = prepare([Rule((a,)) for a in self.input_facts], self.types)
         keys: dict[str, str] = {}
         for rels in parts:
