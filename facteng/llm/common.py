@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -78,6 +79,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def settle(self) -> None:
+        """Shuffle files of the last step go as well: right after it, what listens to Spark's events may still hold its plan."""
+        time.sleep(0.5)
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)

@@ -41,8 +41,8 @@ PER_PART = 2 << 20
 PER_BLOCK = 2 << 20
 #: Successors of a context that one partition counts, about.
 SPLIT = 1 << 20
-#: Steps in which the longest n-grams are asked for; with more, what is shuffled at once is a part of them.
-TURNS = 1
+#: Steps in which the longest n-grams are asked for, so that what is shuffled at once is a part of them.
+TURNS = 2
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -53,10 +53,10 @@ def held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-def pack(a: np.ndarray) -> bytes:
+def pack(a: np.ndarray, level: int = 1) -> bytes:
     """Bytes of an array, those of equal weight together, compressed."""
     a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
@@ -129,7 +129,7 @@ def encode(plain: DataFrame, per_block: int) -> DataFrame:
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
-            values = (pack(np.array(ids, np.int64).reshape(-1)), pack(np.array([len(x) for x in hashed], np.uint64)), pack(words[order]), pack(rank[at]))
+            values = (pack(np.array(ids, np.int64).reshape(-1)), pack(np.array([len(x) for x in hashed], np.uint64)), pack(words[order]), pack(rank[at], 5))
             return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([len(at)], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names)
 
         held = 0
@@ -403,21 +403,22 @@ def grams_found(block: Block, answers: pd.DataFrame, level: int, g: Grams, low:
     return Found(total, scale / np.maximum(count, 1), np.where(some, np.log10(backoff), 0.0))
 
 
-def walk(block: Block, answers: pd.DataFrame, model: Model, dealt: Dealt, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+def walk(block: Block, answers: pd.DataFrame, model: Model, dealt: Dealt, order: int, logs_too: bool = True) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray | None]:
     """Climbs to the given order: its n-grams, their counts, the factors of their suffixes' contexts, and the log10 probability
-    of every token."""
+    of every token (if asked for)."""
     low, count = single(block), words_found(block, answers, dealt.parts)
     p = np.where(count > 0, discounted(count, model.discounts[0]) / max(model.total, 1) * model.share, model.unseen)
-    logs = np.log10(p)[block.tokens]
+    logs = np.log10(p)[block.tokens] if logs_too else None
     lower = np.full(len(count), model.share / max(model.total, 1))
     for level in range(2, order + 1):
         g = longer(block, low, level)
         found = grams_found(block, answers, level, g, low, count, lower, model, dealt)
-        ok = g.at >= 0
-        at = g.at[ok]
-        context, c = g.context[at], found.count[at]
-        seen = np.log10(found.factor[context] * np.maximum(discounted(c, model.discounts[level - 1]), 1e-300))
-        logs[ok] = np.where(c > 0, seen, found.backoff[context] + logs[ok])
+        if logs is not None:
+            ok = g.at >= 0
+            at = g.at[ok]
+            c = found.count
+            seen = np.log10(found.factor[g.context] * np.maximum(discounted(c, model.discounts[level - 1]), 1e-300))
+            logs[ok] = np.where(c > 0, seen, 0.0)[at] + np.where(c > 0, 0.0, found.backoff[g.context])[at] + np.where(c[at] > 0, 0.0, logs[ok])
         lower = found.factor[g.suffix]  # a longer context's suffix is, less its last word, a context of this order
         low, count = g, found.count
     return low, count, lower, logs
@@ -455,7 +456,7 @@ def katz_scores(docs: DataFrame, spark: SparkSession, order: int = ORDER, per_pa
                 out = []
                 for r in left.itertuples(index=False):
                     block = read_block(*(getattr(r, c) for c in columns))
-                    low, count, _, _ = walk(block, right, model, dealt, level - 1)
+                    low, count, _, _ = walk(block, right, model, dealt, level - 1, logs_too=False)
                     out += asked_of(r.block, block, longer(block, low, level), low, count, dealt, level, turn, many)
                 return pd.DataFrame(out, columns=[x.split()[0] for x in ASKED.split(", ")])
 
@@ -465,6 +466,7 @@ def katz_scores(docs: DataFrame, spark: SparkSession, order: int = ORDER, per_pa
         for turn in range(many):
             asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(ask(turn), ASKED)
             got.append(scratch.save(asked.groupBy("part").applyInPandas(count_grams(level), ANSWER), f"grams{level}"))
+            scratch.settle()
         table = reduce(DataFrame.unionByName, got)
         known.append(stats(table))
         replies = replies.unionByName(table.where(F.col("block").isNotNull()))
