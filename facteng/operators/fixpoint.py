@@ -2,8 +2,8 @@
 
 A round joins each recursive premise's last additions (delta) with the older and newer state of the others, takes away what is
 known, and writes what is left to the shared folder. Premises before the delta read the old state, later ones the full
-one, so no combination is made twice; variants whose delta is empty are skipped. Bound relations keep the best value of each
-key; if a value still improves after as many rounds as there are keys, it improves for ever and becomes infinite.
+full one, so no combination is made twice; variants whose delta is empty are skipped. Bound relations keep the best value of each
+key; after 4, 8, 16, .. rounds the values that improve for ever are looked for and become infinite.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from ..ast import Atom, Cmp, Con, Rule, Var
 from ..checks.stratify import asserted, reads
 from ..errors import ProgramError
-from ..functions.scalars import EXT, ext
+from ..functions.scalars import EXT
 from ..plans.body import Compiler
 from ..types import RelSym, Types
+from .divergence import diverging
 from .store import Tables
 
 _KIND = {"int": "bigint", "float": "double", "string": "string", "id": "string", "ext": EXT}
@@ -212,18 +213,14 @@ class Engine:
                 for more in dfs[1:]:
                     df = df.union(more)
                 frames[rel] = df
-            keys = sum(self.states[rel].rows for rel in rels)
-            diverges = any(self.types.rels[rel].bound for rel in rels) and rounds > keys + 1
+            if rounds >= 4 and rounds & (rounds - 1) == 0 and any(self.types.rels[rel].bound for rel in rels):
+                for rel, df in diverging(self, rels, again).items():
+                    frames[rel] = df if frames[rel] is None else frames[rel].union(self.typed(df, self.types.rels[rel]))
             # All rules of a round read the same state, so deltas are replaced only after all are written.
             new = {}
             for rel, df in frames.items():
                 sym = self.types.rels[rel]
                 if df is not None:
-                    if diverges and sym.bound:
-                        last = f"c{sym.arity - 1}"
-                        gain = self.fresh_rows(df, sym)
-                        worst = ext(F.lit(0).cast("long"), F.lit(-1 if sym.bound == "min" else 1))
-                        df = gain.withColumn(last, worst)
                     new[rel] = self.tables.save(self.fresh_rows(df, sym))
             for rel in rels:
                 sym, state = self.types.rels[rel], self.states[rel]

@@ -101,3 +101,24 @@ def test_list_and_number_functions(spark):
     assert tuple(got[1]) == ([1, 2], [], [], [], False, True, False, [1, 2], 2, [], 0, 0, 0, None, 0)
     assert lists.iterate(3, lambda x: x * 2, 1) == 8
     assert (numerals.nat_minus(2, 5), numerals.nat_div(7, 0), numerals.nat_mod(7, 0), numerals.int_div(-7, 2), numerals.int_div(1, 0), numerals.fits64(1 << 63)) == (0, 0, 7, -3, 0, False)
+
+
+def test_values_that_improve_for_ever(spark):
+    """A long chain into a cycle whose weight is negative, far more keys than rounds, and a cycle of positive weight."""
+    n = 3000
+    edges = [(k, k + 1, 2) for k in range(5)] + [(5, 6, 1), (6, 7, -4), (7, 5, 2), (7, 100, 3)] + [(0, 200, 1), (200, 201, 1), (201, 200, 5)]
+    edges += [(0, 1000 + k, k) for k in range(n)] + [(100, 1000, 1)]
+    p = Program("""road : int -> int -> int -> rel. near : int -> (d : min int) -> rel. far : int -> (d : max int) -> rel.
+        near 0 0. near Y (D + W) :- near X D, road X Y W. far 0 0. far Y D :- far X C, road X Y W, D = C - W.""")
+    p.load("road", spark.createDataFrame(edges, "a int, b int, w int"))
+    r = p.evaluate(spark)
+    got = {x.c0: x.d for x in r.extended("near").collect()}
+    assert {k for k, v in got.items() if v == "-inf"} == {5, 6, 7, 100, 1000}
+    assert got[4] == "8" and got[201] == "2" and got[1007] == "7" and len(got) == 6 + 2 + 1 + 2 + n
+    far = {x.c0: x.d for x in r.extended("far").collect()}
+    assert {k for k, v in far.items() if v == "inf"} == {5, 6, 7, 100, 1000} and far[201] == "-2"
+    assert r.stats()["rounds"] < 60
+    swap = Program("a : int -> (x : min int) -> rel. b : int -> (y : max int) -> rel. s : int -> rel. s 1. a X 0 :- s X. b X (0 - D) :- a X D. a X (0 - D - 1) :- b X D. c : int -> (z : min int) -> rel. c X 5 :- s X. c X (D / 2) :- c X D.")
+    swap.types.rels["c"].terminates = True
+    out = swap.evaluate(spark)
+    assert out.extended("a").collect()[0].x == "-inf" and out.extended("b").collect()[0].y == "inf" and out.extended("c").collect()[0].z == "0"
