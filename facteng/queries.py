@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Tables with a key among the columns that are loaded, so no row repeats.
+KEYED = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem"}
 #: Relations over the sample tables: (columns of the table, declaration).
 SOURCES = {
     "region": ("region", ["r_regionkey", "r_name"], "(key : int) -> (name : string)"),
@@ -25,6 +27,7 @@ SOURCES = {
     "lineitem": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "(order : int) -> (line : int) -> (part : int) -> (supplier : int) -> (quantity : float)"),
     "events": ("events", ["event_id", "user_id", "event_type", "value"], "(id : int) -> (user : int) -> (type : string) -> (value : float)"),
     "document": ("documents", ["doc_id", "lang", "source"], "(id : int) -> (lang : string) -> (source : string)"),
+    "doc": ("documents", ["doc_id", "lang"], "(id : int) -> (lang : string)"),
     "label": ("labels", ["doc_id", "quality", "toxic"], "(doc : int) -> (quality : int) -> (toxic : int)"),
     "turn": ("conversations", ["conv_id", "turn"], "(conv : int) -> (turn : int)"),
 }
@@ -36,7 +39,7 @@ def program(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) ->
     for name, (table, cols, decl) in SOURCES.items():
         if name in text.replace("(", " ").replace(",", " ").split():
             p.read(f"{name} : {decl} -> rel.")
-            p.load(name, spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols), unique=True)
+            p.load(name, spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols), unique=table in KEYED)
     for name, df in frames.items():
         decl = " -> ".join(f"({c} : {'string' if t == 'string' else 'float' if t == 'double' else 'int'})" for c, t in df.dtypes)
         p.read(f"{name} : {decl} -> rel.")
@@ -91,7 +94,7 @@ rules("join_self", "q", "q : (a : int) -> (b : int) -> rel. q A B :- supplier A
 rules("join_cross", "q", "q : (r : string) -> (n : string) -> rel. q R N :- region _ R, nation _ N _.", "SELECT r_name AS r, n_name AS n FROM region, nation")
 rules("semi", "q", 'q : (customer : int) -> rel. q C :- customer C _ _, orders _ C _ "1-URGENT".', "SELECT c_custkey AS customer FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 rules("anti", "q", "q : (key : int) -> rel. q O :- orders O _ _ _, not lineitem O _ _ _ _.", "SELECT o_orderkey AS key FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-rules("anti_documents", "q", "q : (id : int) -> (lang : string) -> rel. q D L :- document D L _, not label D _ _.", "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+rules("anti_documents", "q", "q : (id : int) -> (lang : string) -> rel. q D L :- doc D L, not label D _ _.", "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 rules("anti_global", "q", "q : (key : int) -> rel. q K :- region K _, not nation 99 _ _.", "SELECT CAST(r_regionkey AS BIGINT) AS key FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 99)")
 rules("anti_computed", "q", "q : (key : int) -> rel. q K :- nation K _ _, not nation (K + 1) _ _.", "SELECT CAST(n_nationkey AS BIGINT) AS key FROM nation WHERE n_nationkey + 1 NOT IN (SELECT n_nationkey FROM nation)")
 
@@ -242,6 +245,52 @@ def _fib(spark, d):
     return Program("fib : int -> int -> rel. %demand fib + -. fib 0 0. fib 1 1. fib N F :- N > 1, A = N - 1, B = N - 2, fib A X, fib B Y, F = X + Y. ?- fib 12 F.").evaluate(spark).query(0)
 
 
+@frame("diverge_walk", f"""WITH RECURSIVE e AS (SELECT s_suppkey AS src, (3 * s_suppkey + 1) % 100 AS dst, s_nationkey - 20 AS w FROM supplier),
+    w AS (SELECT CAST(7 AS BIGINT) AS x, CAST(0 AS BIGINT) AS d, 0 AS n UNION ALL SELECT e.dst, w.d + e.w, n + 1 FROM w JOIN e ON e.src = w.x WHERE n < 300)
+    SELECT x AS node, CASE WHEN arg_max(d, n) < arg_min(d, n) THEN '-inf' ELSE CAST(min(d) AS VARCHAR) END AS d FROM w GROUP BY x""")
+def _diverge_walk(spark, d):
+    text = "step : int -> int -> int -> rel. step S T W :- supplier S N, X = 3 * S + 1, T = X - X / 100 * 100, W = N - 20. at : (node : int) -> (d : min int) -> rel. at 7 0. at Y (D + W) :- at X D, step X Y W."
+    return program(spark, d, text).evaluate(spark).extended("at")
+
+
+_PATH = EDGE + "path : (src : int) -> (dst : int) -> rel. %demand path + -. path X Y :- edge X Y. path X Z :- edge X Y, path Y Z. "
+_SOME = f"WITH RECURSIVE {_E}, p AS (SELECT src, dst FROM e WHERE src < 6 UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
+rules("demand_negation", "q", _PATH + "q : (key : int) -> rel. q X :- supplier X _, X < 6, not path X 40.", f"{_SOME} SELECT s_suppkey AS key FROM supplier WHERE s_suppkey < 6 AND s_suppkey NOT IN (SELECT src FROM p WHERE dst = 40)")
+rules("demand_aggregate", "q", _PATH + "q : (key : int) -> (n : int) -> rel. q X N :- supplier X _, X < 6, N = count { Y | path X Y }.", f"{_SOME} SELECT src AS key, count(*) AS n FROM p GROUP BY src")
+rules("demand_disjunction", "q", _PATH + "q : (key : int) -> rel. q Y :- (path 2 Y ; path 5 Y).", f"{_SOME} SELECT DISTINCT dst AS key FROM p WHERE src IN (2, 5)")
+
+# Inputs, outputs, answers
+
+rules("negate", "q", "q : (key : int) -> (v : int) -> rel. q K (-S) :- part K _ _ S, -S < 0 - 40.", "SELECT p_partkey AS key, CAST(-p_size AS BIGINT) AS v FROM part WHERE -p_size < -40")
+rules("fold_constants", "q", "q : (key : int) -> (v : int) -> rel. q K (S + (2 * 3 - 7 / 2)) :- part K _ _ S, S < 6 * 2 - 5.", "SELECT p_partkey AS key, CAST(p_size + 3 AS BIGINT) AS v FROM part WHERE p_size < 7")
+rules("inline_facts", "q", 'q : (key : int) -> (rank : int) -> rel. level : string -> int -> rel. level "BUILDING" 1. level "MACHINERY" 2. q K R :- customer K _ S, level S R.', "SELECT c_custkey AS key, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 2 END AS BIGINT) AS rank FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+
+
+@frame("given_facts", "SELECT c_custkey AS key FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_nationkey <> 3")
+def _given_facts(spark, d):
+    p = program(spark, d, "wanted : string -> rel. %input wanted. barred : int -> rel. %input barred. q : (key : int) -> rel. %output q. q K :- customer K N S, wanted S, not barred N.")
+    p.load_facts('wanted "BUILDING". wanted "HOUSEHOLD". barred 3. barred 99.')
+    return p.evaluate(spark).outputs()["q"]
+
+
+@frame("open_input", "SELECT s_suppkey AS key FROM supplier WHERE s_nationkey IN (1, 2, 5)")
+def _open_input(spark, d):
+    p = program(spark, d, "seen : int -> rel. %open seen. q : (key : int) -> rel. q K :- supplier K N, seen N.")
+    p.load_facts("seen 1. seen 2. seen 5.")
+    return p.evaluate(spark).outputs(all_relations=True)["q"]
+
+
+@frame("query_answers", "SELECT c_custkey AS \"C\", o_totalprice AS \"P\" FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 400000")
+def _query_answers(spark, d):
+    return program(spark, d, '?- customer C _ "BUILDING", orders _ C P _, P > 400000.0.').evaluate(spark).query(0)
+
+
+@frame("rounds_of_strata", "SELECT 'a' AS stage, count(*) AS n FROM supplier WHERE s_nationkey < 5 UNION ALL SELECT 'b', count(*) FROM supplier WHERE s_nationkey >= 5")
+def _strata(spark, d):
+    text = "low, high : int -> rel. low K :- supplier K N, N < 5. high K :- supplier K _, not low K. q : (stage : string) -> (n : int) -> rel. q X N :- X = \"a\", N = count { K | low K }. q X N :- X = \"b\", N = count { K | high K }."
+    return program(spark, d, text).evaluate(spark).relation("q")
+
+
 # Facts as values
 
 rules("ctor_match", "q", "shape : type. box : int -> int -> shape. bag : string -> shape. has : int -> shape -> rel. has K (box S K) :- part K _ _ S, S > 20. has K (bag N) :- part K N _ S, S <= 20. q : (key : int) -> (side : int) -> rel. q K A :- has K (box A _).", "SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS side FROM part WHERE p_size > 20")
