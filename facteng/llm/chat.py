@@ -177,7 +177,8 @@ def format_conversations(rows: DataFrame, parts: str | None = None, budget: Budg
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the formatted text and its mask."""
+    """What can be read back from the formatted text and its mask: a row for each row, in any number; a conversation without
+    turns has zero turns and the digests of nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -198,6 +199,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, read back from the formatted text. Null texts and roles are empty, null turns come first, a null
+    conv_id is a conversation of its own; repeated rows are turns of their own; without rows there is only conversation -7."""
     said = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")

@@ -115,6 +115,8 @@ def keep_clean(docs: DataFrame, bench: DataFrame, spark: SparkSession, **paramet
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each pair of a document and an item with a similar window; null, empty, repeated and missing rows as in
+    contaminated()."""
     found = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark)
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "windows")
 

@@ -267,6 +267,8 @@ def dedup_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8, l
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents. Null texts are one empty line and keep nothing; repeated rows share their places; a
+    null doc_id comes before all others. Further columns aren't read."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split(text_or_empty(), "\n", -1)).cast("long").alias("n_lines"))
     cut = dedup_lines(docs.withColumn("before", F.length(text_or_empty()).cast("long")), spark)
     return cut.select("doc_id", "n_lines", (F.col("before") - F.length(text_or_empty())).cast("long").alias("chars_removed"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))

@@ -222,6 +222,8 @@ def joined(spans: Column) -> Column:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; null and empty texts have no spans, whose digest is that of nothing; repeated rows and
+    null ids stay as they are."""
     found = scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])

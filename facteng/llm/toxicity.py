@@ -191,6 +191,8 @@ def keep_clean(docs: DataFrame, spark: SparkSession, chain: Chain, threshold: fl
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents; predicted is 1 if score is 0.5 or more. Null and empty texts, repeated rows and null
+    ids as in score(); null labels and labels of absent documents teach nothing; without labels all scores are the base rate."""
     chain = fit_from_tables(spark, sf_dir)
     found = score(documents(spark, sf_dir), spark, chain)
     return found.withColumn("score", F.col("p_toxic")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
