@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from .functions.scalars import identity
 from .operators.fixpoint import Engine
 from .plans.body import Env
 from .rewrite.demand import demand
+from .rewrite.formulas import Formulas
 from .rewrite.simplify import prepare
 from .types import BASES, Column, RelSym, Types
 
@@ -37,6 +38,7 @@ class Program:
         self.user_directives: dict[str, Callable] = {}
         self.modules: dict[str, object] = {}
         self.unique: set[str] = set()
+        self.formulas = Formulas()
         if source:
             self.read(source)
 
@@ -47,7 +49,7 @@ class Program:
         return self
 
     def _declare(self, name: str, cols: Iterable, result: str | None = None) -> str:
-        if name in self.types.rels or name in BASES:
+        if name in self.types.rels or name in BASES or name in self.formulas.arity:
             raise ProgramError("E0404", f"{name} is declared twice")
         made = []
         for i, c in enumerate(cols):
@@ -89,8 +91,18 @@ class Program:
 
     # Rules
 
+    def formula(self, name: str, arity: int) -> str:
+        """A formula function; rules with its name as head are its clauses, in which every call is replaced."""
+        if name in self.types.rels or name in self.formulas.arity:
+            raise ProgramError("E0404", f"{name} is declared twice")
+        self.formulas.declare(name, arity)
+        return name
+
     def add_rule(self, rule: Rule) -> None:
-        self.rules.append(rule)
+        if any(h.rel in self.formulas.arity for h in rule.heads):
+            self.formulas.add(rule)
+        else:
+            self.rules.append(rule)
 
     def rule(self, heads, *body, label: str | None = None) -> None:
         self.add_rule(Rule(tuple(heads) if isinstance(heads, (list, tuple)) else (heads,), tuple(body), label))
@@ -191,7 +203,8 @@ class Program:
             for c in r.columns:
                 if not self.types.known(c.type):
                     raise ProgramError("E0404", f"type {c.type} of {r.name} is not declared")
-        rules, queries = list(self.rules), self.queries
+        rules = written = [replace(r, body=self.formulas.inline(r.body)) for r in self.rules]
+        queries = [replace(q, body=self.formulas.inline(q.body)) for q in self.queries]
         for rel, modes in self.demands:
             sym, rules = demand(self.types.rels[rel], modes, rules, queries)
             self.types.rels.setdefault(sym.name, sym)
@@ -201,7 +214,7 @@ class Program:
         semantics.typing(rules, self.types)
         for r in rules:
             check_modes(r)
-        found = semantics.lints(self.rules, self.types)
+        found = semantics.lints(written, self.types)
         parts = stratify(list(self.types.rels), rules)
         completeness({r.name for r in self.types.rels.values() if not r.complete}, rules)
         semantics.consistent(rules, self.types.rels)
@@ -283,7 +296,7 @@ class Result:
         """Answers of query k: a row for each, columns named like its variables. A query without variables has one row
         if it holds."""
         q = self.program.queries[k]
-        body = prepare([Rule((), q.body)], self.program.types)
+        body = prepare([Rule((), self.program.formulas.inline(q.body))], self.program.types)
         names, frames = [v for v in q.shown], []
         for r in body:
             env = self.engine.compiler.body(r.body, live=set(names))

@@ -266,6 +266,9 @@ rules("fold_constants", "q", "q : (key : int) -> (v : int) -> rel. q K (S + (2 *
 rules("inline_facts", "q", 'q : (key : int) -> (rank : int) -> rel. level : string -> int -> rel. level "BUILDING" 1. level "MACHINERY" 2. q K R :- customer K _ S, level S R.', "SELECT c_custkey AS key, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 2 END AS BIGINT) AS rank FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 
 
+rules("formula_functions", "q", "small, odd : int -> prop. small X :- X < 4. small X :- X = 40. odd X :- Y = X / 2, X <> Y * 2. q : (key : int) -> rel. q K :- part K _ _ S, small S, odd K.", "SELECT p_partkey AS key FROM part WHERE (p_size < 4 OR p_size = 40) AND p_partkey % 2 = 1")
+
+
 @frame("given_facts", "SELECT c_custkey AS key FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_nationkey <> 3")
 def _given_facts(spark, d):
     p = program(spark, d, "wanted : string -> rel. %input wanted. barred : int -> rel. %input barred. q : (key : int) -> rel. %output q. q K :- customer K N S, wanted S, not barred N.")

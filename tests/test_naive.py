@@ -25,6 +25,9 @@ PROGRAMS = {
     "negative numbers and folding": GRAPH + "q : int -> rel. q (-W) :- flight _ _ W, -W < 0 - 2 * 2 + 1. r : int -> rel. r (7 / 2 - 10).",
     "several heads": GRAPH + "a, b : string -> rel. a X, b Y :- flight X Y W, W > 4.",
     "repeated variables": GRAPH + "loop : string -> rel. loop X :- flight X X _. pair : string -> string -> rel. pair X Y :- flight X Y W, flight Y X W.",
+    "formula functions": GRAPH + "small : int -> prop. small X :- X < 3. small X :- X = 7. joined : string -> string -> prop. joined X Y :- flight X Z _, flight Z Y W, not big W. big : int -> prop. big N :- N > 8. "
+    + "none : int -> prop. diagonal : string -> string -> prop. diagonal X X :- flight X _ _. q : string -> rel. q X :- flight X _ W, small W. r : string -> string -> rel. r X Y :- joined X Y, not big 9, flight X _ W, not none W. "
+    + "r X Y :- joined X Y, flight X _ Z, small (Z - 1). s : string -> int -> rel. s X N :- flight X _ _, N = count { Y | flight X Y W, small W }. t : string -> rel. t X :- flight X Y _, diagonal X Y.",
     "mutual recursion": GRAPH + "odd, even : string -> string -> rel. odd X Y :- flight X Y _. odd X Z :- even X Y, flight Y Z _. even X Z :- odd X Y, flight Y Z _.",
     "values": GRAPH + "leg : type. hop : string -> string -> leg. used : leg -> int -> rel. used (hop X Y) W :- flight X Y W. q : string -> int -> rel. q Y W :- used (hop _ Y) W, W > 3. r : string -> rel. r X :- flight X Y _, L = hop Y X.",
     "demand under negation": GRAPH + 'go, q : string -> string -> rel. %demand go + -. go X Y :- flight X Y _. go X Z :- flight X Y _, go Y Z. c : string -> rel. c X :- flight X _ _. q X Y :- c X, c Y, not go X Y, X < Y.',
@@ -57,6 +60,14 @@ def test_engine_equals_naive_evaluation(spark, name):
     assert any(want[r] for r in plain)
 
 
+def test_formula_functions_that_are_refused():
+    for code, text in (("E0603", "f : int -> prop. f X :- f X. q : int -> rel. q X :- f X."), ("E0402", "f : int -> prop. f X :- X > 1. q : int -> rel. q 1 :- f 1 2."),
+                       ("E0404", "f : int -> prop. f : int -> rel."), ("E0502", "p : int -> rel. f : int -> prop. f X :- p X, X > 1. q : int -> rel. q X :- p X, not f X.")):
+        with pytest.raises(ProgramError) as e:
+            Program(text).checked()
+        assert e.value.code == code
+
+
 def test_what_holds_after_some_rounds():
     p = lambda: Program("next, go : int -> int -> rel. next 1 2. next 2 3. next 3 4. go X Y :- next X Y. go X Z :- go X Y, next Y Z.")
     assert holds(p(), "go", 1, 4) and not holds(p(), "go", 1, 4, rounds=2) and holds(p(), "go", 1, 3, rounds=2) and not holds(p(), "go", 4, 1)
