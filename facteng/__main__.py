@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from .errors import ProgramError
@@ -23,7 +24,7 @@ def main(args: list[str] | None = None) -> int:
     say = lambda e: print(e.to_json() if a.error_format == "json" else str(e), file=sys.stderr)
     try:
         with open(a.program) as f:
-            program = Program(f.read())
+            program = Program(f.read(), os.path.dirname(a.program))
         for path in a.facts:
             with open(path) as f:
                 program.load_facts(f.read())

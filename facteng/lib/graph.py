@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from ..operators.store import Tables
 
 
-def _node(p, edge: str) -> str:
-    return p.types.rels[edge].columns[0].type
+def _node(p, edge: str, *more: str, complete: bool = False) -> str:
+    """The type of nodes; edge must have two columns of it, and the further ones given."""
+    node = p.types.rels[edge].columns[0].type if edge in p.types.rels and p.types.rels[edge].columns else None
+    p.require(edge, node, node, *more, complete=complete)
+    return node
 
 
 def reverse(p, edge: str) -> SimpleNamespace:
@@ -53,6 +56,7 @@ def rtc(p, edge: str) -> SimpleNamespace:
 
 def reach(p, edge: str, seed: str) -> SimpleNamespace:
     t, name = _node(p, edge), f"reach_{edge}_{seed}"
+    p.require(seed, t)
     p.read(f"{name} : {t} -> rel. {name} X :- {seed} X. {name} Y :- {name} X, {edge} X Y.")
     return SimpleNamespace(reached=name)
 
@@ -66,7 +70,8 @@ def scc(p, edge: str) -> SimpleNamespace:
 
 def degrees(p, edge: str) -> SimpleNamespace:
     """Sources, sinks and degrees, zeros included. The edges must be complete."""
-    v, t = p.use(vertices, edge).vertex, _node(p, edge)
+    t = _node(p, edge, complete=True)
+    v = p.use(vertices, edge).vertex
     p.read(f"""
         source_{edge}, sink_{edge} : {t} -> rel. outdeg_{edge}, indeg_{edge} : {t} -> int -> rel.
         source_{edge} X :- {v} X, not {edge} _ X. sink_{edge} X :- {v} X, not {edge} X _.
@@ -76,7 +81,7 @@ def degrees(p, edge: str) -> SimpleNamespace:
 
 def shortest(p, edge: str) -> SimpleNamespace:
     """Least weight of a walk; minus infinity where a negative cycle lies on the way."""
-    t, name = _node(p, edge), f"shortest_{edge}"
+    t, name = _node(p, edge, "int"), f"shortest_{edge}"
     p.read(f"{name} : {t} -> {t} -> (d : min int) -> rel. {name} X Y W :- {edge} X Y W. {name} X Z (D + W) :- {name} X Y D, {edge} Y Z W.")
     return SimpleNamespace(dist=name)
 

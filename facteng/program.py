@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -28,7 +29,9 @@ DIRECTIVES = ("input", "output", "open", "derivations", "terminates", "demand")
 
 
 class Program:
-    def __init__(self, source: str | None = None):
+    def __init__(self, source: str | None = None, folder: str | None = None):
+        """folder: where texts that the source imports are looked for; the working folder by default."""
+        self.folder, self.imported = folder or ".", set()
         self.types = Types()
         self.rules: list[Rule] = []
         self.queries: list[Query] = []
@@ -120,7 +123,28 @@ class Program:
 
     # Directives
 
+    def import_text(self, path: str) -> Program:
+        """Reads another program text, relative to the text that imports it, once however often it is imported."""
+        full = os.path.realpath(os.path.join(self.folder, path if os.path.splitext(path)[1] else f"{path}.dl"))
+        if full in self.imported:
+            return self
+        self.imported.add(full)
+        try:
+            with open(full) as f:
+                source = f.read()
+        except OSError as e:
+            raise ProgramError("E0201", f"{path} cannot be imported: {e.strerror}") from e
+        outer, self.folder = self.folder, os.path.dirname(full)
+        try:
+            return self.read(source)
+        finally:
+            self.folder = outer
+
     def directive(self, name: str, args: list[str]) -> None:
+        if name == "import":
+            for path in args:
+                self.import_text(path.strip('"'))
+            return
         if name in self.user_directives:
             self.user_directives[name](self, args)
             return
@@ -251,6 +275,21 @@ class Program:
 
     # Convenience
 
+    def require(self, rel: str, *columns: str | None, complete: bool = False) -> RelSym:
+        """What a functor asks of a parameter: a relation with columns of these types (None: any), E0204 otherwise; and, if it
+        negates or aggregates over it, a complete one, E0208 otherwise."""
+        sym = self.types.rels.get(rel)
+        if sym is None:
+            raise ProgramError("E0204", f"{rel} is no relation")
+        if len(sym.columns) != len(columns):
+            raise ProgramError("E0204", f"{rel} has {len(sym.columns)} columns, not {len(columns)}")
+        for c, want in zip(sym.columns, columns, strict=True):
+            if want is not None and c.type != want:
+                raise ProgramError("E0204", f"column {c.label} of {rel} is {c.type}, not {want}")
+        if complete and not sym.complete:
+            raise ProgramError("E0208", f"{rel} must be complete")
+        return sym
+
     def use(self, functor: Callable, *args, name: str | None = None):
         """An instance of a functor (a function that adds relations to the program), made once for the same arguments."""
         key = name or f"{functor.__name__}({', '.join(map(str, args))})"

@@ -133,3 +133,25 @@ def test_values_that_improve_for_ever(spark):
     swap.types.rels["c"].terminates = True
     out = swap.evaluate(spark)
     assert out.extended("a").collect()[0].x == "-inf" and out.extended("b").collect()[0].y == "inf" and out.extended("c").collect()[0].z == "0"
+
+
+def test_functors_check_their_parameters():
+    from facteng.lib import graph
+
+    base = "edge, big : string -> string -> rel. mixed : string -> int -> rel. road : string -> string -> string -> rel. loose : string -> string -> rel. %open loose. seed : int -> rel. "
+    for code, use in (("E0204", (graph.tc, "absent")), ("E0204", (graph.tc, "mixed")), ("E0204", (graph.shortest, "road")), ("E0204", (graph.reach, "edge", "seed")), ("E0208", (graph.degrees, "loose"))):
+        with pytest.raises(ProgramError) as e:
+            Program(base).use(*use)
+        assert e.value.code == code
+    assert Program(base).use(graph.degrees, "edge").out_degree == "outdeg_edge"
+
+
+def test_imports(spark, tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "paths.dl").write_text('%import "base". path X Y :- edge X Y. path X Z :- path X Y, edge Y Z.')
+    (tmp_path / "lib" / "base.dl").write_text("edge, path : int -> int -> rel. edge 1 2. edge 2 3.")
+    p = Program('%import "lib/paths". %import "lib/base.dl". far : int -> rel. far Y :- path 1 Y, not edge 1 Y.', str(tmp_path))
+    assert p.evaluate(spark).render("far") == ["far 3."]
+    with pytest.raises(ProgramError) as e:
+        Program('%import "nothing".', str(tmp_path))
+    assert e.value.code == "E0201"
