@@ -63,9 +63,9 @@ def read_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (size, at + 1 + n) if size >= 0x80 and size >> 8 * (n - 1) else None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of a run of DER values that use up data exactly."""
-    out, at = [], 0
+def der_items(data: bytes | memoryview) -> list[tuple[int, memoryview]] | None:
+    """(tag, content) of a run of DER values that use up data exactly; contents are views, so deep nesting copies nothing."""
+    out, at, data = [], 0, memoryview(data)
     while at < len(data):
         tag, got = data[at], read_length(data, at + 1)
         if got is None or got[1] + got[0] > len(data):

@@ -55,3 +55,15 @@ def test_key_files_parse_to_their_end():
         assert not secrets.is_ssh_key(bad)
     sealed = OPENSSH.replace(field(b"none"), field(b"aes256-gcm@openssh.com"), 1)
     assert secrets.is_ssh_key(sealed + b"t" * 16) and not secrets.is_ssh_key(sealed)
+
+
+def test_deep_nesting_is_read_in_linear_time():
+    import time
+
+    body = b"\x05\x00"
+    for _ in range(60_000):
+        n = len(body)
+        body = bytes([0x30]) + (bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")) + body
+    began = time.process_time()
+    assert not secrets.is_der_key(bytes([0x30]) + body[1:])
+    assert time.process_time() - began < 2
