@@ -254,8 +254,8 @@ def dedup_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8, l
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c.lower(): name for c, name in zip(docs.columns, names, strict=True)}
     plain = [docs[f"`{c}`"].alias(name) for c, name in zip(docs.columns, names, strict=True)]
-    lines = F.when(F.col("_gone").isNotNull(), F.split(docs["text"], "\n", -1))
-    cut = joined.select(*plain, "_gone", _once(lines).alias("_lines"))
+    lines = F.when(bad["_gone"].isNotNull(), F.split(docs["text"], "\n", -1))
+    cut = joined.select(*plain, bad["_gone"].alias("_gone"), _once(lines).alias("_lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(at["text"])).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
     cut = cut.select(*names, "_gone", _once(text).alias("_text"))

@@ -240,10 +240,10 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, scratch: Scratch) -> Dat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("k")
     kept = scratch.save(found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_t"), F.col("k.n").alias("_n")), "kept")
     joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_t"]))
-    single = joined.where("_n = 1").select(*[docs[c] for c in docs.columns])
+    single = joined.where(kept["_n"] == 1).select(*[docs[c] for c in docs.columns])
     if kept.where("_n > 1").isEmpty():
         return single
-    again = joined.where("_n > 1").select(*[docs[c] for c in docs.columns], kept["_d"].alias("_kd"), kept["_t"].alias("_kt"))
+    again = joined.where(kept["_n"] > 1).select(*[docs[c] for c in docs.columns], kept["_d"].alias("_kd"), kept["_t"].alias("_kt"))
     return single.unionByName(again.dropDuplicates(["_kd", "_kt"]).drop("_kd", "_kt"))
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, shard string, score string, line int, k long, m int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, shard string, score string, line int, k long, m int, _gone string, _n string"
 
 
 def words(rng, n):
@@ -36,7 +36,7 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """rows with further columns whose names operators use themselves."""
-    return spark.createDataFrame([(*r, 1, 2, "x", "y", 3, 4, 5) for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, 1, 2, "x", "y", 3, 4, 5, "g", "n") for r in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")
