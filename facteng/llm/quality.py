@@ -36,9 +36,12 @@ BLOCK = 1024
 
 def pieces(token: str) -> tuple[str, ...]:
     """What a token counts as: its letters in lower case, and marks of its form."""
-    first, last = _LETTER.search(token), _LETTER.search(token[::-1])
-    start, end = (first.start(), len(token) - last.start()) if first else (len(token), len(token))
-    before, core, after = token[:start], token[start:end], token[end:]
+    before, core, after = "", token, ""
+    if not token.isalnum():
+        first = _LETTER.search(token)
+        start = first.start() if first else len(token)
+        end = len(token) - _LETTER.search(token[::-1]).start() if first else start
+        before, core, after = token[:start], token[start:end], token[end:]
     marks = []
     if not core:
         marks.append("<symbol>")
@@ -67,7 +70,7 @@ def shape_marks(text: str, total: int, distinct: int, tops: int) -> list[str]:
 class Reader:
     """Turns texts into counts of known pieces; remembers the pieces of tokens."""
 
-    def __init__(self, vocabulary: dict[str, int], remember: int = 1 << 17):
+    def __init__(self, vocabulary: dict[str, int], remember: int = 1 << 19):
         self.vocabulary, self.remember, self.seen = vocabulary, remember, {}
 
     def ids(self, token: str) -> tuple[int, ...]:
