@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int, where=None, extra: list[str] | None = None) -> DataFrame:
     """(doc_id, text, *extra, *columns) of at most max_rows labelled documents, the least by a hash of doc_id.
@@ -21,7 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(extra or []))
     names = [c for c in plain.columns if c != "doc_id"]
     one = plain.join(F.broadcast(marks.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), *names)).alias("_r"))
-    return one.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in names]).join(F.broadcast(marks), "doc_id")
+    sample = one.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in names]).join(F.broadcast(marks), "doc_id")
+    return Scratch(docs.sparkSession, "sample").save(sample, "sample")  # read several times
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
