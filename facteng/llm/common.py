@@ -64,12 +64,14 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/facteng-{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None, codec: str | None = None, block: int | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         writer = df.write.mode("overwrite")
         if codec:
             writer = writer.option("compression", codec)
+        if block:  # bytes of a row group, which a task holds in memory
+            writer = writer.option("parquet.block.size", block)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
