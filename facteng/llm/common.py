@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,25 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """The same for the driver's JVM: collects its garbage, and has its C library give freed memory back, where the JVM has that
+    command. Compiling the plans of many jobs allocates and frees much outside the heap, and the library keeps it for each thread."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+
+    def those(kind, *values):
+        out = array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    with contextlib.suppress(Py4JError):
+        kinds = [jvm.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", those(jvm.Class, *kinds))  # the server's own class is hidden
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), those(jvm.Object, commands, "systemTrimNativeHeap", None, None))
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run over batches, with release() at the end of the task."""
 
@@ -76,7 +96,7 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         # Shuffle files of the finished step are no longer needed; Spark deletes them once the driver has collected its plan.
-        self.spark.sparkContext._jvm.System.gc()
+        release_driver(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
