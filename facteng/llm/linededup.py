@@ -35,7 +35,7 @@ SKETCH = 1 << 16
 #: Earlier sets that are tried as witnesses, for each key.
 BACK = 6
 #: Steps in which the prefix join is made.
-TURNS = 4
+TURNS = 2
 #: In packed postings larger sets have this size, which the filters let pass.
 WIDE = (1 << 16) - 1
 
@@ -154,7 +154,8 @@ def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFram
     held = ("k", "s0", "s1", "p")
     long_ = lambda df: df.select(*[F.col(c).alias(f"{c}_") for c in held])
     low = posts.where(short)
-    found = low.where(~F.col("late")).select(*held).join(long_(posts), same)
+    # Hash joins, as neither side need be sorted for one look at each key.
+    found = low.where(~F.col("late")).select(*held).hint("shuffle_hash").join(long_(posts), same)
     back = maybe_broadcast(low.where(F.col("late")).select(*held), settled // TURNS, 40).join(long_(posts.where(~F.col("late"))), same)
     return found.select("k", "k_").union(back.select("k", "k_")).distinct()
 
