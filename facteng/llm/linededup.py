@@ -4,8 +4,8 @@ A line is the set of its words. Words are ordered by rarity, counted over the co
 global order keeps the join exact, rarity makes it fast, and the bucketed counts have a fixed size. Two lines of
 Jaccard similarity t share a word among their first n - ceil(t n) + 1 (prefix filter), the smaller one among its first
 n - ceil(2 t n / (1 + t)) + 1. Candidates must also fit in length, in the number of words that can still follow the shared
-one (positional filter), and in a 128-bit parity signature, whose differing bits bound the overlap. What is left is verified on the
-whole sets.
+one (positional filter), and in a 128-bit parity signature, whose differing bits bound the overlap. The join's key is a word and
+a class of sizes, so that sets of one word but far apart in size don't meet at all. What is left is verified on the whole sets.
 
 Equal sets are merged first, by 128 bits of their hash, so copies of a line are one entry of the join whatever their number. A
 line goes if some earlier line (by doc_id, then place) has similarity t or more, whether that one is kept or not. So
@@ -16,6 +16,7 @@ yet. A group of near copies so costs pairs in proportion to its size, and no dec
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 from functools import reduce
 
@@ -31,13 +32,23 @@ BUCKETS = 1 << 17
 #: Sets with one key that are looked through together for witnesses; larger groups are dealt out.
 GROUP = 4096
 #: Hash buckets in which these keys are counted.
-SKETCH = 1 << 16
+SKETCH = 1 << 12
 #: Earlier sets that are tried as witnesses, for each key.
 BACK = 6
 #: Steps in which the prefix join is made.
 TURNS = 2
 #: In packed postings larger sets have this size, which the filters let pass.
 WIDE = (1 << 16) - 1
+#: Sets of more words than this have 128 bits of parities, others 64.
+FEW = 80
+
+
+def _plain(text: Column) -> Column:
+    """Lower-cased, with plain spaces between the words of a line: its words are then a split at one character."""
+    text = F.lower(text)
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def _bucket(h: Column) -> Column:
@@ -46,7 +57,8 @@ def _bucket(h: Column) -> Column:
 
 def rarity(docs: DataFrame) -> bytes:
     """One byte for each hash bucket: a logarithmic class of how many words of the corpus fall into it."""
-    hashed = docs.select(F.explode(words(F.col("text"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    tokens = _lines(_plain_texts(_texts(docs))).select(F.explode(F.split("content", " ")).alias("w"))
+    hashed = tokens.where(F.col("w") != "").select(_bucket(F.xxhash64("w")).alias("b"))
     out = bytearray(BUCKETS)
     counted = hashed.groupBy("b").agg(F.least(F.lit(126), F.floor(F.log2(F.count(F.lit(1))) * 3) + 1).cast("int").alias("c"))
     for r in counted.collect():  # at most BUCKETS rows
@@ -54,12 +66,14 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(out)
 
 
-def codes(text: Column, classes: bytes) -> Column:
-    """The set of words as an ascending array of longs: class of rarity in the top byte, hash below."""
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant
+def codes(line: Column, classes: bytes) -> Column:
+    """The set of words of a line of _plain text as an ascending array of longs: class of rarity in the top byte, hash below."""
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant; equal small numbers are one object
+    hashed = F.array_remove(F.array_distinct(hashes(F.split(line, " "))), F.xxhash64(F.lit("")))
 
-    code = lambda h: F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(F.array_distinct(hashes(words(text))), code))
+    # Never null, so that plain longs are sorted and not objects.
+    code = lambda h: F.shiftleft(F.coalesce(F.get(table, _bucket(h)), F.lit(0).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashed, code))
 
 
 def _once(c: Column) -> Column:
@@ -69,7 +83,8 @@ def _once(c: Column) -> Column:
 
 def _parities(array: Column, parts: int) -> list[Column]:
     """64 * parts bits in longs s0, s1, .. (parts: 2 or 4), each bit the parity of how many elements have it as their lowest
-    bits: two sets differ in at least as many elements as their parities in bits."""
+    bits: two sets differ in at least as many elements as their parities in bits. Of two parts the first holds the parities of all
+    elements, the second, for sets of more than FEW, those with a further bit set (0 for others)."""
     place = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
 
     def those(mark) -> Column:  # of the elements whose mark is 1
@@ -78,7 +93,7 @@ def _parities(array: Column, parts: int) -> list[Column]:
     one = F.lit(1).cast("long")
     every, low = those(lambda c: one), those(lambda c: F.shiftright(c, 6).bitwiseAND(one))
     if parts == 2:
-        return [every.bitwiseXOR(low).alias("s0"), low.alias("s1")]
+        return [every.alias("s0"), F.when(F.size(array) > FEW, low).otherwise(F.lit(0).cast("long")).alias("s1")]
     high, both = (those(m) for m in (lambda c: F.shiftright(c, 7).bitwiseAND(one), lambda c: F.shiftright(c, 6).bitwiseAND(F.shiftright(c, 7)).bitwiseAND(one)))
     return [every.bitwiseXOR(low).bitwiseXOR(high).bitwiseXOR(both).alias("s0"), low.bitwiseXOR(both).alias("s1"), high.bitwiseXOR(both).alias("s2"), both.alias("s3")]
 
@@ -98,6 +113,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_or_empty().cast("string").alias("text"))
 
 
+def _plain_texts(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", "th", _plain(F.col("text")).alias("text"))
+
+
 def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
 
@@ -108,7 +127,12 @@ PLACE = ("doc_id", "th", "line")
 def _fits(t: Fraction, n: Column, m: Column, parts: int = 2) -> Column:
     """Whether sets of n and m words with these parities can be similar: overlap o is enough if o (a + b) >= a (n + m)."""
     a, b = t.numerator, t.denominator
-    return (F.least(n, m) * b >= F.greatest(n, m) * a) & ((n + m - _differ(parts)) * (a + b) >= a * (n + m) * 2)
+    near = lambda differ: (n + m - differ) * (a + b) >= a * (n + m) * 2
+    size = F.least(n, m) * b >= F.greatest(n, m) * a
+    if parts == 4:
+        return size & near(_differ(4))
+    every, low = F.col("s0").bitwiseXOR(F.col("s0_")), F.col("s1").bitwiseXOR(F.col("s1_"))
+    return size & near(F.bit_count(every)) & ((F.least(n, m) <= FEW) | near(F.bit_count(every.bitwiseXOR(low)) + F.bit_count(low)))
 
 
 def _neighbours(sets: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
@@ -135,14 +159,21 @@ def _neighbours(sets: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
     return found.select("k", "k_").distinct()
 
 
+def _class(n: Column, t: Fraction) -> Column:
+    """A class of sizes, at most 31. Similar sets are of one class or of adjacent ones: a class spans more than a factor of 1 / t."""
+    span = max(1.5, 1.01 / float(t))
+    return F.least(F.floor(F.log(n.cast("double")) / math.log(span)), F.lit(31)).cast("int")
+
+
 def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFrame:
     """(k, k_): candidates of the prefix join in which at least one set isn't late yet. Of the words
-    every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings. settled is the number of postings of late sets."""
+    every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings. settled is the number of late sets."""
     a, b = t.numerator, t.denominator
-    code = F.col("code").cast("long")
-    packed = F.shiftleft(code, 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.least("pos", F.lit(WIDE)).cast("long"))
-    posts = sets.select("k", "s0", "s1", "n", "late", F.posexplode("prefix").alias("pos", "code")).where(F.pmod("code", F.lit(TURNS)) == turn)
-    posts = posts.select("k", "s0", "s1", packed.alias("p"), "late", "n", "pos")
+    packed = F.shiftleft(F.col("late").cast("long"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.least("pos", F.lit(WIDE)).cast("long"))
+    word = lambda c: F.shiftleft(F.col("code").cast("long"), 5).bitwiseOR(c.cast("long")).alias("word")
+    own, next_ = _class(F.col("n"), t), _class(F.floor(F.col("n") * b / a), t)
+    posts = sets.select("k", "s0", "s1", "n", "late", own.alias("own"), next_.alias("next"), F.posexplode("prefix").alias("pos", "code"))
+    posts = posts.where(F.pmod("code", F.lit(TURNS)) == turn).select("k", "s0", "s1", packed.alias("p"), "n", "pos", "code", "own", "next")
     short = (F.col("n") >= WIDE) | (F.col("pos") <= F.col("n") - _ceil_share(F.col("n"), 2 * t / (1 + t)))
     size = lambda p: F.shiftright(p, 16).bitwiseAND(F.lit(WIDE)).cast("int")
     at = lambda p: p.bitwiseAND(F.lit(WIDE)).cast("int")
@@ -150,14 +181,16 @@ def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFram
     wide = (m == WIDE) & (n * b >= WIDE * a)
     fits = wide | ((F.least(n - i, m - j) * (a + b) >= a * (n + m)) & _fits(t, n, m))
     # The smaller set of a pair needs a shorter prefix (its share of the overlap is larger).
-    same = (F.shiftright("p", 32) == F.shiftright("p_", 32)) & ((n < m) | ((n == m) & (F.col("k") != F.col("k_")))) & fits
-    held = ("k", "s0", "s1", "p")
-    long_ = lambda df: df.select(*[F.col(c).alias(f"{c}_") for c in held])
-    low = posts.where(short)
-    # Hash joins, as neither side need be sorted for one look at each key.
-    found = low.where(~F.col("late")).select(*held).hint("shuffle_hash").join(long_(posts), same)
-    back = maybe_broadcast(low.where(F.col("late")).select(*held), settled // TURNS, 40).join(long_(posts.where(~F.col("late"))), same)
-    return found.select("k", "k_").union(back.select("k", "k_")).distinct()
+    same = (F.col("word") == F.col("word_")) & ((n < m) | ((n == m) & (F.col("k") != F.col("k_")))) & fits
+    held = ("k", "s0", "s1", "p", "word")
+    long_ = lambda df: df.select(*held[:-1], word(F.col("own"))).select(*[F.col(c).alias(f"{c}_") for c in held])
+    # The larger set is of the smaller one's class or of the next, where that can be.
+    low = posts.where(short).select("k", "s0", "s1", "p", "code", F.explode(F.when(F.col("own") == F.col("next"), F.array("own")).otherwise(F.array("own", "next"))).alias("class"))
+    if settled:
+        same = same & (F.shiftright(F.col("p").bitwiseAND(F.col("p_")), 32) == 0)  # not both late
+    # A hash join, as neither side need be sorted for one look at each key.
+    found = low.select("k", "s0", "s1", "p", word(F.col("class"))).hint("shuffle_hash").join(long_(posts), same)
+    return found.select("k", "k_").distinct()
 
 
 def _late(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
@@ -211,7 +244,7 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     t = Fraction(similarity).limit_denominator(1000)
     scratch = Scratch(spark, "lines")
     classes, texts = rarity(docs), _texts(docs)
-    coded = _lines(texts).select(*PLACE, _once(codes(F.col("content"), classes)).alias("codes")).withColumn("n", F.size("codes")).where(F.col("n") >= least_words)
+    coded = _lines(_plain_texts(texts)).select(*PLACE, _once(codes(F.col("content"), classes)).alias("codes")).withColumn("n", F.size("codes")).where(F.col("n") >= least_words)
     # Of a line only the short hashes of its prefix, a parity signature and a key of the set are kept.
     prefix = F.transform(F.slice("codes", 1, F.col("n") - _ceil_share(F.col("n"), t) + 1), lambda c: F.hash(c))
     key = [F.xxhash64("codes").alias("k"), F.xxhash64(F.lit(1), "codes").alias("j")]
@@ -225,10 +258,13 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
 
     near = scratch.save(_neighbours(sets, scratch, t), "near")
     early = _late(near, sets.withColumn("late", F.lit(False)), texts, scratch, t)
-    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), early.count(), 32)
+    settled = early.count()
+    mark = maybe_broadcast(early.withColumn("late", F.lit(True)), settled, 32)
     marked = sets.join(mark, ["k", "j"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    settled = int(marked.where("late").agg(F.sum(F.size("prefix"))).first()[0] or 0)
-    turns = [scratch.save(_partners(marked, t, settled, turn), "pairs") for turn in range(TURNS)]
+    turns = []
+    for turn in range(TURNS):
+        turns.append(scratch.save(_partners(marked, t, settled, turn), "pairs"))
+        scratch.settle()  # so that the next turn's shuffle files don't come on top
     pairs = scratch.save(reduce(DataFrame.union, turns).distinct(), "pairs")
     late = early.union(_late(pairs, marked, texts, scratch, t))
 
