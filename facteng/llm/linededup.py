@@ -4,7 +4,7 @@ A line is the set of its words. Words are ordered by rarity, counted over the co
 global order keeps the join exact, rarity makes it fast, and the bucketed counts have a fixed size. Two lines of
 Jaccard similarity t share a word among their first n - ceil(t n) + 1 (prefix filter), the smaller one among its first
 n - ceil(2 t n / (1 + t)) + 1. Candidates must also fit in length, in the number of words that can still follow the shared
-one (positional filter), and in a 128-bit parity signature, whose differing bits bound the overlap. The join's key is a word and
+one (positional filter), and in a parity signature of 64 or 128 bits, whose differing bits bound the overlap. The join's key is a word and
 a class of sizes, so that sets of one word but far apart in size don't meet at all. What is left is verified on the whole sets.
 
 Equal sets are merged first, by 128 bits of their hash, so copies of a line are one entry of the join whatever their number. A
