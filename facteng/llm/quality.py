@@ -31,6 +31,7 @@ VOCABULARY = 8192
 MAX_ROWS = 20_000
 HIDDEN = 32
 _LETTER = re.compile(r"\w")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # of ASCII, without what counts as a letter
 BLOCK = 1024
 
 
@@ -51,7 +52,7 @@ def pieces(token: str) -> tuple[str, ...]:
         marks.append("<title>")
     else:
         marks.append("<lower>")
-    if any(c.isdigit() for c in core):
+    if not core.isalpha() and any(map(str.isdigit, core)):
         marks.append("<digit>")
     if len(before) + len(after) > 1 or len(core) > 24:
         marks.append("<odd>")
@@ -68,36 +69,59 @@ def shape_marks(text: str, total: int, distinct: int, tops: int) -> list[str]:
 
 
 class Reader:
-    """Turns texts into counts of known pieces; remembers the pieces of tokens."""
+    """Turns texts into counts of known pieces, by ascending number. Tokens of known words are remembered; the many others
+    are told by their form each time, which costs less than to find them in a large memory."""
 
-    def __init__(self, vocabulary: dict[str, int], remember: int = 1 << 19):
+    def __init__(self, vocabulary: dict[str, int], remember: int = 1 << 16):
         self.vocabulary, self.remember, self.seen = vocabulary, remember, {}
-
-    def ids(self, token: str) -> tuple[int, ...]:
-        got = self.seen.get(token)
-        if got is None:
-            if len(self.seen) >= self.remember:
-                self.seen.clear()
-            known = self.vocabulary
-            got = self.seen[token] = tuple(known[p] for p in pieces(token) if p in known)
+        self.kinds: dict[tuple[int, ...], int] = {}  # the known marks of a token, numbered: there are few combinations
+        self.forms: dict[tuple, int] = {}  # kinds of tokens of letters between ASCII punctuation, by all that their marks depend on
+
+    def kind(self, marks: tuple[str, ...]) -> int:
+        known = tuple(self.vocabulary[m] for m in marks if m in self.vocabulary)
+        return self.kinds.setdefault(known, len(self.kinds)) << 32
+
+    def code(self, token: str) -> int:
+        """Number of the token's marks in the upper bits, number of its word (or of none) in the lower 32."""
+        core = token if token.isalpha() else token.strip(_PUNCTUATION)
+        if core.isalpha():
+            word = self.vocabulary.get(core.lower())
+            n, size, end = len(token), len(core), ""
+            if n > size:
+                at = token.index(core) + size
+                end = token[at : at + 1]
+            form = (size > 1 and core.isupper(), core[0].isupper(), n - size > 1 or size > 24, end)
+            kind = self.forms.get(form)
+            if kind is None:
+                kind = self.forms[form] = self.kind(pieces(token)[1:])
+            if word is None:
+                return kind | len(self.vocabulary)
+        else:
+            found = pieces(token)
+            some = not found[0].startswith("<")
+            word = self.vocabulary.get(found[0], len(self.vocabulary)) if some else len(self.vocabulary)
+            kind = self.kind(found[some:])
+        if len(self.seen) >= self.remember:
+            self.seen.clear()
+        got = self.seen[token] = kind | word
         return got
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         text = text or ""
         counts = Counter(text.split())
-        out: dict[int, int] = {}
-        seen = self.seen
-        for token, n in counts.items():
-            got = seen.get(token)
-            if got is None:
-                got = self.ids(token)
-            for i in got:
-                out[i] = out.get(i, 0) + n
-        total = sum(counts.values())
-        for m in shape_marks(text, total, len(counts), max(counts.values(), default=0)):
+        get, code = self.seen.get, self.code
+        codes = np.array([got if (got := get(t)) is not None else code(t) for t in counts], np.int64)
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        out = np.bincount(codes & 0xFFFFFFFF, times, len(self.vocabulary) + 1)
+        out[-1] = 0.0
+        for marks, n in zip(self.kinds, np.bincount(codes >> 32, times).tolist()):  # later kinds, if any, aren't in this text
+            for i in marks if n else ():
+                out[i] += n
+        for m in shape_marks(text, int(times.sum()), len(counts), int(times.max(initial=0))):
             if m in self.vocabulary:
-                out[self.vocabulary[m]] = 1
-        return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
+                out[self.vocabulary[m]] = 1.0
+        ids = np.flatnonzero(out > 0)
+        return ids, out[ids]
 
 
 def all_pieces(text: str | None) -> set[str]:
@@ -138,10 +162,7 @@ def word_vectors(docs: DataFrame, spark: SparkSession, vocabulary: list[str]) ->
             for t in b.column(0).to_pylist():
                 ids, counts = reader(t)
                 at, sign = index_vector((t or "").encode())
-                if len(ids):
-                    weight = np.log1p(counts)
-                    for k, s in zip(at, sign, strict=True):
-                        sums[ids, k] += s * weight
+                sums[ids] += np.outer(np.log1p(counts), np.bincount(at, sign, DIM))
         for k in range(0, n, BLOCK):
             part = np.ascontiguousarray(sums[k : k + BLOCK], dtype=np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], ["block", "sums"])
@@ -179,12 +200,12 @@ def pool(reader: Reader, vectors: np.ndarray, marks: int, text: str | None) -> n
     ids, counts = reader(text)
     out = np.zeros(3 * DIM)
     if len(ids):
-        mark = ids < marks
-        for k, part in ((0, ~mark), (1, mark)):
-            if part.any():
+        first = int(np.searchsorted(ids, marks))  # ids ascend, and marks come first
+        for k, part in ((0, slice(first, None)), (1, slice(first))):
+            if len(ids[part]):
                 out[k * DIM : (k + 1) * DIM] = counts[part] @ vectors[ids[part]] / counts[part].sum()
-        total = max(float(counts[~mark].sum()), 1.0)
-        np.add.at(out, 2 * DIM + ids[mark] % DIM, np.minimum(counts[mark] / total, 1.0))
+        total = max(float(counts[first:].sum()), 1.0)
+        out[2 * DIM :] = np.bincount(ids[:first] % DIM, np.minimum(counts[:first] / total, 1.0), DIM)
     return out
 
 
