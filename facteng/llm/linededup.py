@@ -11,7 +11,7 @@ Equal sets are merged first, by 128 bits of their hash, so copies of a line are
 line goes if some earlier line (by doc_id, then place) has similarity t or more, whether that one is kept or not. So
 all that counts of a set is whether any earlier one is similar: one witness settles it. Witnesses are sought first among the few
 sets just before it that share the least hash of a prefix word; the join then looks for partners of the sets that have none
-yet. A group of near copies so costs pairs in proportion to its size, and no decision is lost.
+yet, and only among pairs whose later set is such a one. A group of near copies so costs pairs in proportion to its size, and no decision is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SKETCH = 1 << 12
 BACK = 6
 #: Steps in which the prefix join is made.
 TURNS = 2
+#: Ranks of places in packed postings.
+RANKS = 1 << 30
 #: In packed postings larger sets have this size, which the filters let pass.
 WIDE = (1 << 16) - 1
 #: Sets of more words than this have 128 bits of parities, others 64.
@@ -57,7 +59,8 @@ def _bucket(h: Column) -> Column:
 
 def rarity(docs: DataFrame) -> bytes:
     """One byte for each hash bucket: a logarithmic class of how many words of the corpus fall into it."""
-    tokens = _lines(_plain_texts(_texts(docs))).select(F.explode(F.split("content", " ")).alias("w"))
+    flat = F.replace(_plain(text_or_empty().cast("string")), F.lit("\n"), F.lit(" "))
+    tokens = docs.select(F.explode(F.split(flat, " ")).alias("w"))
     hashed = tokens.where(F.col("w") != "").select(_bucket(F.xxhash64("w")).alias("b"))
     out = bytearray(BUCKETS)
     counted = hashed.groupBy("b").agg(F.least(F.lit(126), F.floor(F.log2(F.count(F.lit(1))) * 3) + 1).cast("int").alias("c"))
@@ -159,6 +162,16 @@ def _neighbours(sets: DataFrame, scratch: Scratch, t: Fraction) -> DataFrame:
     return found.select("k", "k_").distinct()
 
 
+def _ranked(sets: DataFrame) -> DataFrame:
+    """With rank, an int below RANKS: sets of lesser rank have earlier places. Of equal ranks, as of one doc_id, nothing is known."""
+    low, high = sets.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return sets.withColumn("rank", F.lit(0))
+    # Each step keeps the order, whatever it rounds. A null doc_id comes before all others.
+    share = (F.col("doc_id").cast("double") - float(low)) / max(float(high) - float(low), 1.0)
+    return sets.withColumn("rank", F.coalesce(F.floor(share * (RANKS - 2)).cast("int") + 1, F.lit(0)))
+
+
 def _class(n: Column, t: Fraction) -> Column:
     """A class of sizes, at most 31. Similar sets are of one class or of adjacent ones: a class spans more than a factor of 1 / t."""
     span = max(1.5, 1.01 / float(t))
@@ -166,13 +179,15 @@ def _class(n: Column, t: Fraction) -> Column:
 
 
 def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFrame:
-    """(k, k_): candidates of the prefix join in which at least one set isn't late yet. Of the words
-    every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings. settled is the number of late sets."""
+    """(k, k_): candidates of the prefix join whose later set isn't late yet, by the sets' ranks (if they have any); of equal ranks
+    one at least isn't. Of the words every TURNS-th is dealt with, so that what is shuffled at once is a part of all postings.
+    settled is the number of late sets."""
     a, b = t.numerator, t.denominator
-    packed = F.shiftleft(F.col("late").cast("long"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.least("pos", F.lit(WIDE)).cast("long"))
+    rank = F.col("rank") if "rank" in sets.columns else F.lit(0)
+    packed = F.shiftleft(F.col("rank").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("late").cast("long"), 32)).bitwiseOR(F.shiftleft(F.least("n", F.lit(WIDE)).cast("long"), 16)).bitwiseOR(F.least("pos", F.lit(WIDE)).cast("long"))
     word = lambda c: F.shiftleft(F.col("code").cast("long"), 5).bitwiseOR(c.cast("long")).alias("word")
     own, next_ = _class(F.col("n"), t), _class(F.floor(F.col("n") * b / a), t)
-    posts = sets.select("k", "s0", "s1", "n", "late", own.alias("own"), next_.alias("next"), F.posexplode("prefix").alias("pos", "code"))
+    posts = sets.select("k", "s0", "s1", "n", "late", rank.alias("rank"), own.alias("own"), next_.alias("next"), F.posexplode("prefix").alias("pos", "code"))
     posts = posts.where(F.pmod("code", F.lit(TURNS)) == turn).select("k", "s0", "s1", packed.alias("p"), "n", "pos", "code", "own", "next")
     short = (F.col("n") >= WIDE) | (F.col("pos") <= F.col("n") - _ceil_share(F.col("n"), 2 * t / (1 + t)))
     size = lambda p: F.shiftright(p, 16).bitwiseAND(F.lit(WIDE)).cast("int")
@@ -187,7 +202,9 @@ def _partners(sets: DataFrame, t: Fraction, settled: int, turn: int) -> DataFram
     # The larger set is of the smaller one's class or of the next, where that can be.
     low = posts.where(short).select("k", "s0", "s1", "p", "code", F.explode(F.when(F.col("own") == F.col("next"), F.array("own")).otherwise(F.array("own", "next"))).alias("class"))
     if settled:
-        same = same & (F.shiftright(F.col("p").bitwiseAND(F.col("p_")), 32) == 0)  # not both late
+        ranks = [F.shiftright(p, 33) for p in ("p", "p_")]
+        open_ = [F.shiftright(p, 32).bitwiseAND(F.lit(1)) == 0 for p in ("p", "p_")]
+        same = same & ((open_[0] & (ranks[0] >= ranks[1])) | (open_[1] & (ranks[1] >= ranks[0])))
     # A hash join, as neither side need be sorted for one look at each key.
     found = low.select("k", "s0", "s1", "p", word(F.col("class"))).hint("shuffle_hash").join(long_(posts), same)
     return found.select("k", "k_").distinct()
@@ -262,8 +279,9 @@ def removed_lines(docs: DataFrame, spark: SparkSession, similarity: float = 0.8,
     mark = maybe_broadcast(early.withColumn("late", F.lit(True)), settled, 32)
     marked = sets.join(mark, ["k", "j"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
     turns = []
+    ranked = _ranked(marked) if settled else marked
     for turn in range(TURNS):
-        turns.append(scratch.save(_partners(marked, t, settled, turn), "pairs"))
+        turns.append(scratch.save(_partners(ranked, t, settled, turn), "pairs"))
         scratch.settle()  # so that the next turn's shuffle files don't come on top
     pairs = scratch.save(reduce(DataFrame.union, turns).distinct(), "pairs")
     late = early.union(_late(pairs, marked, texts, scratch, t))
