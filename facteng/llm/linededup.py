@@ -42,7 +42,7 @@ RANKS = 1 << 30
 #: In packed postings larger sets have this size, which the filters let pass.
 WIDE = (1 << 16) - 1
 #: Sets of more words than this have 128 bits of parities, others 64.
-FEW = 80
+FEW = 48
 
 
 def _plain(text: Column) -> Column:

@@ -35,3 +35,8 @@ def test_pairs_with_a_later_late_set_are_left_out(spark):
 def test_late_sets_after_one_make_no_pairs(spark):
     rows = [(k, 10, 0, 0, [4, 5, 8], k > 0, k) for k in range(50)]
     assert _pairs(spark, rows) == []
+
+
+def test_sets_of_sixty_words_have_both_parities(spark):
+    row = spark.range(1).select(F.expr("sequence(64L, 123L)").alias("a")).select(*linededup._parities(F.col("a"), 2)).first()
+    assert row.s0 != 0 and row.s1 != 0
