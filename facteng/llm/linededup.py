@@ -11,7 +11,7 @@ Equal sets are merged first, by 128 bits of their hash, so copies of a line are
 line goes if some earlier line (by doc_id, then place) has similarity t or more, whether that one is kept or not. So
 all that counts of a set is whether any earlier one is similar: one witness settles it. Witnesses are sought first among the few
 sets just before it that share the least hash of a prefix word; the join then looks for partners of the sets that have none
-yet, and only among pairs whose later set is such a one. A group of near copies so costs pairs in proportion to its size, and no decision is lost.
+yet, and only among pairs whose later set is such a one. Sets that share words without being similar still meet; no decision is lost.
 """
 
 from __future__ import annotations
